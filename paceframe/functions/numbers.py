@@ -83,8 +83,7 @@ def fixed_text(value: ColumnLike, digits: int = 0, *, grouped: bool = False, sig
     """Number as text with a fixed count of decimals."""
     flags = ("+" if sign else "") + ("," if grouped else "")
     rounded = exact_round(value, digits)
-    # Adding zero turns a negative zero into a positive one.
-    return F.when(rounded.isNotNull(), F.format_string(f"%{flags}.{digits}f", rounded + F.lit(0.0)))
+    return F.when(rounded.isNotNull(), F.format_string(f"%{flags}.{digits}f", rounded))
 
 
 def number_or_unknown(value: ColumnLike, digits: int = 1) -> Column:

@@ -28,9 +28,26 @@ def distance(a: ColumnLike, b: ColumnLike) -> Column:
 
 
 def cosine(a: ColumnLike, b: ColumnLike) -> Column:
-    """Zero when a vector has no length; null when one is missing."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size).when(size.isNotNull(), F.lit(0.0))
+    """Zero when a vector has no length; null when one is missing.
+
+    One pass over both arrays; the ratio is formed at its end.
+    """
+    zero = F.struct(F.lit(0.0).alias("ab"), F.lit(0.0).alias("aa"), F.lit(0.0).alias("bb"))
+
+    def step(s: Column, p: Column) -> Column:
+        return F.struct(
+            (s["ab"] + p["x"] * p["y"]).alias("ab"),
+            (s["aa"] + p["x"] * p["x"]).alias("aa"),
+            (s["bb"] + p["y"] * p["y"]).alias("bb"),
+        )
+
+    pairs = F.zip_with(col(a), col(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.aggregate(
+        pairs,
+        zero,
+        step,
+        lambda s: F.when((s["aa"] > 0) & (s["bb"] > 0), s["ab"] / (F.sqrt(s["aa"]) * F.sqrt(s["bb"]))).otherwise(0.0),
+    )
 
 
 def mean_vector(column: ColumnLike, dim: int) -> Column:

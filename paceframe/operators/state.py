@@ -25,7 +25,7 @@ def linear_carry(df: DataFrame, column: str, out: str, decay: float) -> DataFram
     recent = F.collect_list(column).over(by_rows(-carry_rows(decay), 0))
     frame = frame.withColumn("_recent", recent)
     state = F.aggregate("_recent", F.lit(0.0), lambda c, x: c * decay + (1.0 - decay) * x)
-    return frame.withColumn(out, clamp(state)).drop("_recent")
+    return frame.withColumn(out, state).drop("_recent")
 
 
 def _asymmetric_step(previous: Column, row: Column) -> Column:

@@ -13,10 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceframe import fixed
-from paceframe.functions.numbers import clamp, col, settle
+from paceframe.functions.numbers import col, settle
 from paceframe.keys import by_days, by_rows, history_order, with_day
 
 
+# Sums are settled to six decimals; a partial sum is compared with this slack
+# instead of being rounded once per step.
+_NOISE = 5e-7
+
+
 @dataclass(frozen=True)
 class Rank:
     """Risk of a value by its rank in the trailing days (today excluded)."""
@@ -48,7 +53,7 @@ def percentile_risk(history: Column, value: Column, high: bool = True) -> Column
     """Zero without a value or with fewer than seven history values."""
     share = share_not_above(history, value)
     known = value.isNotNull() & (F.size(history) >= fixed.MIN_HISTORY)
-    return F.when(known, clamp(share if high else 100.0 - share)).otherwise(0.0)
+    return F.when(known, share if high else 100.0 - share).otherwise(0.0)
 
 
 def _history_name(rank: Rank) -> str:
@@ -59,38 +64,41 @@ def _roll_name(roll: RollingRank) -> str:
     return f"_{'mean' if roll.mean else 'sum'}{roll.days}_{roll.column}"
 
 
-def _rolling_score(roll: RollingRank) -> Column:
-    """Count rolling values not above the current one.
+def _cut_windows(roll: RollingRank) -> Column:
+    """Fold the first windows of the slice: how many exist, how many are low.
 
     Rolling values are taken inside the slice of ``baseline + days`` days, so
-    those of its first ``days - 1`` days see a cut window.  They are folded
-    from the slice start; all later ones equal the plain rolling value.
+    those of its first ``days - 1`` days see a cut window that starts at the
+    slice.  All later ones equal the plain rolling value.
     """
     base = _roll_name(roll)
     current = F.col(f"{base}_now")
-    whole = F.col(f"{base}_b{roll.baseline}_whole")
-    cut = F.col(f"{base}_b{roll.baseline}_cut")
 
     def step(acc: Column, item: Column) -> Column:
         x = item["x"]
-        added = acc["s"] + F.coalesce(x, F.lit(0.0))
+        total = acc["s"] + F.coalesce(x, F.lit(0.0))
         seen = acc["n"] + F.when(x.isNotNull(), 1).otherwise(0)
-        value = added / seen if roll.mean else added
-        valid = seen > 0
-        hit = valid & (settle(value) <= current)
+        value = total / seen if roll.mean else total
         return F.struct(
-            added.alias("s"),
+            total.alias("s"),
             seen.alias("n"),
-            (acc["valid"] + F.when(valid, 1).otherwise(0)).alias("valid"),
-            (acc["hits"] + F.when(hit, 1).otherwise(0)).alias("hits"),
+            (acc["valid"] + F.when(seen > 0, 1).otherwise(0)).alias("valid"),
+            (acc["hits"] + F.when((seen > 0) & (value <= current + _NOISE), 1).otherwise(0)).alias("hits"),
         )
 
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("valid"), F.lit(0).alias("hits"))
-    early = F.aggregate(cut, zero, step)
-    count = F.size(whole) + early["valid"]
-    hits = F.size(F.filter(whole, lambda v: v <= current)) + early["hits"]
-    enough = (F.col(f"{base}_b{roll.baseline}_rows") >= 2 * roll.days) & (count >= fixed.MIN_HISTORY)
-    return F.when(enough & current.isNotNull(), clamp(hits / count * 100)).otherwise(0.0)
+    return F.aggregate(F.col(f"{base}_b{roll.baseline}_cut"), zero, step)
+
+
+def _rolling_score(roll: RollingRank) -> Column:
+    """Share of rolling values not above the current one, in percent."""
+    base, b = _roll_name(roll), roll.baseline
+    current, fold = F.col(f"{base}_now"), F.col(f"{base}_b{b}_fold")
+    whole = F.col(f"{base}_b{b}_whole")
+    count = F.size(whole) + fold["valid"]
+    hits = F.col(f"{base}_b{b}_hits") + fold["hits"]
+    enough = (F.col(f"{base}_b{b}_rows") >= 2 * roll.days) & (count >= fixed.MIN_HISTORY)
+    return F.when(enough & current.isNotNull(), hits / count * 100).otherwise(0.0)
 
 
 def add_ranks(df: DataFrame, ranks: Sequence[Rank] = (), rolling: Sequence[RollingRank] = ()) -> DataFrame:
@@ -117,6 +125,14 @@ def add_ranks(df: DataFrame, ranks: Sequence[Rank] = (), rolling: Sequence[Rolli
         second[f"{base}_b{b}_cut"] = cut.over(by_days(-(b + d), -(b + 2)))
     frame = frame.withColumns(second)
 
+    third: dict[str, Column] = {}
+    for r in rolling:
+        base, b = _roll_name(r), r.baseline
+        current = F.col(f"{base}_now")
+        third[f"{base}_b{b}_fold"] = _cut_windows(r)
+        third[f"{base}_b{b}_hits"] = F.size(F.filter(f"{base}_b{b}_whole", lambda v, c=current: v <= c))
+    frame = frame.withColumns(third) if third else frame
+
     scores = {
         rank.out: percentile_risk(F.col(_history_name(rank)), col(rank.value or rank.column), rank.high) for rank in ranks
     }
@@ -182,7 +198,8 @@ def insufficient_rest(df: DataFrame, out: str = "insufficient_rest_score", days:
     easy = F.size(
         F.filter("_days", lambda e: (e["duration"] <= F.col("_mid_duration")) & (e["load"] <= F.col("_mid_load")))
     )
-    score = clamp((hard * 14 + F.col("_low") * 12 + F.greatest(F.lit(0), 2 - easy) * 12).cast("double"))
+    points = hard * 14 + F.col("_low") * 12 + F.greatest(F.lit(0), 2 - easy) * 12
+    score = F.least(points.cast("double"), F.lit(100.0))
     return frame.withColumn(out, F.when(F.col("_rows") == 0, 0.0).otherwise(score)).drop(
         "_rows", "_loads", "_days", "_low", "_mid_load", "_mid_duration"
     )
