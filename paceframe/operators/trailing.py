@@ -44,9 +44,13 @@ class RollingRank:
     mean: bool = False
 
 
+def count_not_above(history: Column, value: Column) -> Column:
+    return F.size(F.filter(history, lambda v: v <= value))
+
+
 def share_not_above(history: Column, value: Column) -> Column:
     """Share of history values at or below the value, in percent."""
-    return F.size(F.filter(history, lambda v: v <= value)) / F.size(history) * 100
+    return count_not_above(history, value) / F.size(history) * 100
 
 
 def percentile_risk(history: Column, value: Column, high: bool = True) -> Column:
@@ -128,9 +132,8 @@ def add_ranks(df: DataFrame, ranks: Sequence[Rank] = (), rolling: Sequence[Rolli
     third: dict[str, Column] = {}
     for r in rolling:
         base, b = _roll_name(r), r.baseline
-        current = F.col(f"{base}_now")
         third[f"{base}_b{b}_fold"] = _cut_windows(r)
-        third[f"{base}_b{b}_hits"] = F.size(F.filter(f"{base}_b{b}_whole", lambda v, c=current: v <= c))
+        third[f"{base}_b{b}_hits"] = count_not_above(F.col(f"{base}_b{b}_whole"), F.col(f"{base}_now"))
     frame = frame.withColumns(third) if third else frame
 
     scores = {
