@@ -146,7 +146,8 @@ def add_ranks(df: DataFrame, ranks: Sequence[Rank] = (), rolling: Sequence[Rolli
 def trailing_share(df: DataFrame, column: str, value: str, out: str, days: int = fixed.BASELINE_DAYS) -> DataFrame:
     """Rank of a value in the trailing days without a minimum history."""
     frame = with_day(df).withColumn("_h", F.collect_list(column).over(by_days(-days, -1)))
-    share = F.when(F.size("_h") > 0, share_not_above(F.col("_h"), col(value)))
+    known = col(value).isNotNull() & (F.size("_h") > 0)
+    share = F.when(known, share_not_above(F.col("_h"), col(value)))
     return frame.withColumn(out, share).drop("_h")
 
 

@@ -64,7 +64,7 @@ def normal_neighbors(frame: DataFrame, normal_z_max: float = 1.0, k: int = 3, qu
     )
     entry = F.struct(
         "neighbor_rank", F.col("neighbor_date").cast("string").alias("date"),
-        F.round("neighbor_distance", 6).alias("distance"), "readiness", "load", "anomaly_zscore",
+        F.col("neighbor_distance").alias("distance"), "readiness", "load", "anomaly_zscore",
     )
     listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.dropFields("neighbor_rank"))
     return (
