@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import model_queries, report_queries  # noqa: F401  (they register their queries)
+from checks import feedback_queries, model_queries, report_queries, source_queries  # noqa: F401  (they register their queries)
 from checks.registry import QUERIES, forget
 
 __all__ = ["QUERIES", "forget"]

@@ -698,8 +698,8 @@ C["rp"] = (
   from (select *, case when peak_accumulated_risk_state >= 65 then 'high' else 'moderate' end as period_level, (datediff('day', start_date, end_date) + 1)::bigint as calendar_days
   from (select r.athlete_id, g.grp as period_id, min(r.date) as start_date, max(r.date) as end_date, count(*) filter (where r.accumulated_risk_state >= 50) as elevated_days,
       count(*) filter (where r.risk_level = 'high') as high_risk_days, max(r.accumulated_risk_state) as peak_accumulated_risk_state,
-      avg(r.accumulated_risk_state) as mean_accumulated_risk_state, avg(r.recovery_strain_score) as mean_recovery_strain,
-      avg(r.metabolic_fatigue_score) as mean_metabolic_fatigue, avg(r.tissue_load_score) as mean_tissue_load, min(r.readiness) as min_readiness
+      round(avg(r.accumulated_risk_state), 9) as mean_accumulated_risk_state, round(avg(r.recovery_strain_score), 9) as mean_recovery_strain,
+      round(avg(r.metabolic_fatigue_score), 9) as mean_metabolic_fatigue, round(avg(r.tissue_load_score), 9) as mean_tissue_load, min(r.readiness) as min_readiness
     from (select athlete_id, grp, min(day) as a, max(day) as b, count(*) as n from (
         select athlete_id, day, sum(case when gap <= 2 then 0 else 1 end) over ({HISTORY})::bigint as grp from (
           select athlete_id, day, coalesce(day - lag(day) over ({HISTORY}), 99) as gap from rh where accumulated_risk_state >= 50))
@@ -749,9 +749,9 @@ C["bp"] = (
   from (select *, elevated_days as high_bone_stress_days, case when peak_accumulated_bone_stress_state >= 65 then 'high' else 'moderate' end as period_level,
     (datediff('day', start_date, end_date) + 1)::bigint as calendar_days from (
     select k.athlete_id, k.period_id, date '1970-01-01' + k.a::integer as start_date, date '1970-01-01' + k.b::integer as end_date, k.elevated_days,
-      max(h.accumulated_bone_stress_state) as peak_accumulated_bone_stress_state, avg(h.accumulated_bone_stress_state) as mean_accumulated_bone_stress_state,
-      max(h.running_7d_sum_m) / 1000e0 as peak_running_7d_km, avg(h.running_7d_sum_m) / 1000e0 as mean_running_7d_km, avg(h.running_7d_load_score) as mean_running_7d_load_score,
-      avg(h.running_progression_score) as mean_running_progression_score, avg(h.running_intensity_score) as mean_running_intensity_score
+      max(h.accumulated_bone_stress_state) as peak_accumulated_bone_stress_state, round(avg(h.accumulated_bone_stress_state), 9) as mean_accumulated_bone_stress_state,
+      max(h.running_7d_sum_m) / 1000e0 as peak_running_7d_km, round(avg(h.running_7d_sum_m) / 1000e0, 9) as mean_running_7d_km, round(avg(h.running_7d_load_score), 9) as mean_running_7d_load_score,
+      round(avg(h.running_progression_score), 9) as mean_running_progression_score, round(avg(h.running_intensity_score), 9) as mean_running_intensity_score
     from blocks k join bh h on h.athlete_id = k.athlete_id and h.day between k.a and k.b group by k.athlete_id, k.period_id, k.a, k.b, k.elevated_days)
     where peak_accumulated_bone_stress_state >= 60)
   join (select athlete_id, period_id, reason as dominant_bone_stress_reason from (

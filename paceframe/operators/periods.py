@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paceframe import fixed
-from paceframe.functions.numbers import exact_round, fixed_text, spaced, texts
+from paceframe.functions.numbers import exact_round, fixed_text, settle, spaced, texts
 from paceframe.keys import ATHLETE, DATE, DAY, history_order, top_per, with_day
 
 _SPAN = "start_date", "end_date"
@@ -81,10 +81,10 @@ def risk_periods(
         F.count_if("_elevated").alias("elevated_days"),
         F.count_if(F.col("risk_level") == "high").alias("high_risk_days"),
         F.max(state).alias("peak_accumulated_risk_state"),
-        F.avg(state).alias("mean_accumulated_risk_state"),
-        F.avg("recovery_strain_score").alias("mean_recovery_strain"),
-        F.avg("metabolic_fatigue_score").alias("mean_metabolic_fatigue"),
-        F.avg("tissue_load_score").alias("mean_tissue_load"),
+        settle(F.avg(state), 9).alias("mean_accumulated_risk_state"),
+        settle(F.avg("recovery_strain_score"), 9).alias("mean_recovery_strain"),
+        settle(F.avg("metabolic_fatigue_score"), 9).alias("mean_metabolic_fatigue"),
+        settle(F.avg("tissue_load_score"), 9).alias("mean_tissue_load"),
         F.min("readiness").alias("min_readiness"),
         F.mode("risk_reason", True).alias("dominant_risk_reason"),
     )
@@ -153,9 +153,8 @@ def high_day_blocks(
     )
 
 
-def history_order_by(column: str):
-    from pyspark.sql import Window
-
+def history_order_by(column: str) -> WindowSpec:
+    """One athlete's periods in the order of a column."""
     return Window.partitionBy(ATHLETE).orderBy(column)
 
 
@@ -184,12 +183,12 @@ def bone_periods(
     )
     periods = rows.groupBy(ATHLETE, "period_id", *_SPAN, "elevated_days").agg(
         F.max("accumulated_bone_stress_state").alias("peak_accumulated_bone_stress_state"),
-        F.avg("accumulated_bone_stress_state").alias("mean_accumulated_bone_stress_state"),
+        settle(F.avg("accumulated_bone_stress_state"), 9).alias("mean_accumulated_bone_stress_state"),
         (F.max("running_7d_sum_m") / 1000.0).alias("peak_running_7d_km"),
-        (F.avg("running_7d_sum_m") / 1000.0).alias("mean_running_7d_km"),
-        F.avg("running_7d_load_score").alias("mean_running_7d_load_score"),
-        F.avg("running_progression_score").alias("mean_running_progression_score"),
-        F.avg("running_intensity_score").alias("mean_running_intensity_score"),
+        settle(F.avg("running_7d_sum_m") / 1000.0, 9).alias("mean_running_7d_km"),
+        settle(F.avg("running_7d_load_score"), 9).alias("mean_running_7d_load_score"),
+        settle(F.avg("running_progression_score"), 9).alias("mean_running_progression_score"),
+        settle(F.avg("running_intensity_score"), 9).alias("mean_running_intensity_score"),
         F.mode("bone_stress_risk_reason", True).alias("dominant_bone_stress_reason"),
     )
     periods = periods.filter(F.col("peak_accumulated_bone_stress_state") >= min_peak_state)
@@ -257,8 +256,6 @@ def period_payload(periods: DataFrame, scores: DataFrame, n: int = 24) -> DataFr
     covers = F.col("_latest").between(F.col("start_date"), F.date_add("end_date", fixed.PERIOD_GRACE_DAYS))
     order = [F.col("peak_accumulated_bone_stress_state").desc(), F.col("period_id")]
     ranked = top_per(counted, [ATHLETE], order, n, rank="period_rank")
-    from pyspark.sql import Window
-
     first_active = F.min(F.when(covers, F.col("period_rank"))).over(Window.partitionBy(ATHLETE))
     return ranked.select(
         ATHLETE, "period_rank", "period_id", *_SPAN, "calendar_days", "elevated_days",

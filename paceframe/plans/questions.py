@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paceframe.functions.numbers import exact_round, or_zero, texts
@@ -189,9 +189,7 @@ def highlighted_days(scores: DataFrame, start: str, end: str, n: int = 8) -> Dat
     )
 
 
-def _track_window():
-    from pyspark.sql import Window
-
+def _track_window() -> WindowSpec:
     return Window.partitionBy(ATHLETE, "track")
 
 
@@ -235,8 +233,6 @@ def weekly_points(scores: DataFrame, end: str, lookback: int = 42) -> DataFrame:
 
 def progression_steps(scores: DataFrame, end: str, lookback: int = 42, reference_pct: float = 10.0) -> DataFrame:
     """Week-to-week volume steps against a fixed percentage benchmark."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(ATHLETE).orderBy("grid_date")
     points = weekly_points(scores, end, lookback).withColumns(
         {"from_date": F.lag(DATE).over(order), "from_7d_km": F.lag("run_7d_km").over(order)}
