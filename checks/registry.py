@@ -371,7 +371,7 @@ add(
         trailing.trailing_share(kept(s, d, "enriched"), "load", "load", "load_share"), ["athlete_id", "date"], ["load_share"]
     ),
     build(
-        """select athlete_id, date, round(case when len(h) > 0 then len(list_filter(h, lambda u: u <= load))::double / len(h) * 100 end, 4) as load_share
+        """select athlete_id, date, round(case when load is not null and len(h) > 0 then len(list_filter(h, lambda u: u <= load))::double / len(h) * 100 end, 4) as load_share
 from (select *, list(load) filter (where load is not null) over (partition by athlete_id order by day range between 28 preceding and 1 preceding) as h from canon)""",
         "canon",
     ),

@@ -33,8 +33,8 @@ def r(expr: str, name: str, digits: int = 4) -> str:
 C["week"] = (
     ["al"],
     f"""
-  select * exclude (ws, wm, wd), case when ws > 0 then (case when wd > 0 then least(wm / wd, 10e0) else 10e0 end) else 0e0 end as wmono,
-    greatest(ws, 0e0) * (case when ws > 0 then (case when wd > 0 then least(wm / wd, 10e0) else 10e0 end) else 0e0 end) as wstrain
+  select * exclude (ws, wm, wd), case when ws > 0 then (case when wd > 0 then least(round(wm / wd, 9), 10e0) else 10e0 end) else 0e0 end as wmono,
+    greatest(ws, 0e0) * (case when ws > 0 then (case when wd > 0 then least(round(wm / wd, 9), 10e0) else 10e0 end) else 0e0 end) as wstrain
   from (select *, sum(running_7d_load_sum) over w as ws, avg(running_7d_load_sum) over w as wm, stddev_pop(running_7d_load_sum) over w as wd
     from al window w as ({HISTORY} range between 6 preceding and current row))""",
 )

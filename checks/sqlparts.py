@@ -268,8 +268,8 @@ C["enr"] = (["canon"], enrich("canon"))
 
 def foster(source: str, column: str, keep: str = "*") -> str:
     return f"""
-  select * exclude (ws, wm, wd), case when ws > 0 then (case when wd > 0 then least(wm / wd, 10e0) else 10e0 end) else 0e0 end as foster_monotony,
-    greatest(ws, 0e0) * (case when ws > 0 then (case when wd > 0 then least(wm / wd, 10e0) else 10e0 end) else 0e0 end) as foster_strain
+  select * exclude (ws, wm, wd), case when ws > 0 then (case when wd > 0 then least(round(wm / wd, 9), 10e0) else 10e0 end) else 0e0 end as foster_monotony,
+    greatest(ws, 0e0) * (case when ws > 0 then (case when wd > 0 then least(round(wm / wd, 9), 10e0) else 10e0 end) else 0e0 end) as foster_strain
   from (select {keep}, sum(coalesce({column}, 0)) over w as ws, avg(coalesce({column}, 0)) over w as wm, stddev_pop(coalesce({column}, 0)) over w as wd
     from {source} window w as ({HISTORY} range between 6 preceding and current row))"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -126,23 +128,21 @@ def high_day_blocks(
     opens = F.coalesce(F.col(DAY) - F.lag(DAY).over(order) > max_gap_days, F.lit(True))
     clusters = high.withColumn("_opens", opens.cast("int")).withColumn("_cluster", F.sum("_opens").over(order))
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        athlete, days = pdf[ATHLETE].iloc[0], sorted(pdf[DAY].tolist())
-        parts = split_long_cluster(days, max_span_days, min_high_days) if len(days) >= min_high_days else []
-        return pd.DataFrame(
-            {
-                ATHLETE: [athlete] * len(parts),
-                "_start": [p[0] for p in parts],
-                "_end": [p[-1] for p in parts],
-                "elevated_days": [len(p) for p in parts],
-            }
-        )
+    days = clusters.groupBy(ATHLETE, "_cluster").agg(F.array_sort(F.collect_list(DAY)).alias("_days"))
+    days = days.filter(F.size("_days") >= min_high_days).select(ATHLETE, "_days")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                (athlete, part[0], part[-1], len(part))
+                for athlete, listed in zip(batch[ATHLETE], batch["_days"])
+                for part in split_long_cluster([int(d) for d in listed], max_span_days, min_high_days)
+            ]
+            yield pd.DataFrame(found, columns=[ATHLETE, "_start", "_end", "elevated_days"])
 
+    # One row is one cluster of high days, far less than one history.
     id_type = scores.schema[ATHLETE].dataType.simpleString()
-    # One group is one cluster of high days, far less than one history.
-    blocks = clusters.select(ATHLETE, "_cluster", DAY).groupBy(ATHLETE, "_cluster").applyInPandas(
-        split, f"{ATHLETE} {id_type}, _start int, _end int, elevated_days bigint"
-    )
+    blocks = days.mapInPandas(split, f"{ATHLETE} {id_type}, _start int, _end int, elevated_days bigint")
     number = F.row_number().over(history_order_by("_start"))
     return blocks.select(
         ATHLETE,

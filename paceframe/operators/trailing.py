@@ -169,7 +169,10 @@ def monotony(df: DataFrame, column: str = "running_bone_stress_load", days: int
     frame = frame.withColumns(
         {"_week_sum": F.sum(x).over(week), "_week_mean": F.avg(x).over(week), "_week_std": F.stddev_pop(x).over(week)}
     )
-    spread = F.when(F.col("_week_std") > 0, F.least(F.col("_week_mean") / F.col("_week_std"), F.lit(fixed.MONOTONY_CAP)))
+    # The ratio is settled, because it is compared with whole and half numbers
+    # that simple weeks hit exactly.
+    quotient = settle(F.col("_week_mean") / F.col("_week_std"), 9)
+    spread = F.when(F.col("_week_std") > 0, F.least(quotient, F.lit(fixed.MONOTONY_CAP)))
     ratio = F.when(F.col("_week_sum") > 0, F.coalesce(spread, F.lit(fixed.MONOTONY_CAP))).otherwise(0.0)
     frame = frame.withColumn("foster_monotony", ratio)
     return frame.withColumn("foster_strain", F.greatest(F.col("_week_sum"), F.lit(0.0)) * F.col("foster_monotony")).drop(
