@@ -22,20 +22,14 @@ HEADLINE = [
     "sport_family_daily_rollup",
     "running_load_7d_28d_acwr",
     "literature_score_daily",
-    "trailing_percentile_28d",
     "rolling_sum_percentile",
-    "recovery_strain_daily",
     "bone_stress_scores",
-    "accumulated_bone_state",
     "recovery_risk_scores",
-    "risk_periods",
     "bone_periods",
     "alert_tiers",
     "embedding_anomaly",
     "embedding_knn",
     "explained_days",
-    "window_vectors",
-    "volume_scenarios",
 ]
 
 
