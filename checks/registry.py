@@ -36,15 +36,11 @@ def add(name: str, covers: str, spark: Callable[[SparkSession, str], DataFrame],
 # The scored tables are computed once per session and data directory and kept,
 # as a user who asks several questions would do.  ``forget`` drops them.
 
-_KEPT: dict[tuple[int, str, str], DataFrame] = {}
-
-
-def _session_key(spark: SparkSession) -> int:
-    return id(spark._jsparkSession) if hasattr(spark, "_jsparkSession") else id(spark)
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def kept(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    key = (_session_key(spark), sf, name)
+    key = (spark.sparkContext.applicationId, sf, name)
     if key not in _KEPT:
         _KEPT[key] = _BUILDERS[name](spark, sf).persist()
     return _KEPT[key]
