@@ -203,3 +203,21 @@ def test_event_config(spark, tmp_path):
     row = events.first()
     assert (row["label"], row["symptom_window_start"]) == ("e", dt.date(2024, 4, 1))
     assert spans.first()["end_date"] == dt.date(2024, 1, 5)
+
+
+def test_ridge_matches_the_closed_form(spark):
+    import numpy as np
+
+    from paceframe.operators import learners
+
+    rng = np.random.default_rng(7)
+    x, noise = rng.normal(size=(60, 3)), rng.normal(size=60)
+    y = x @ np.array([2.0, -1.0, 0.5]) + 40 + noise
+    rows = [(1, day(i), "train" if i < 45 else "test", float(y[i]), [float(v) for v in x[i]]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "athlete_id bigint, date date, split string, target double, vector array<double>")
+    got = [r["ridge"] for r in learners.ridge_predictions(frame).orderBy("date").collect()]
+    tx, ty = x[:45], y[:45]
+    centred = tx - tx.mean(axis=0)
+    weights = np.linalg.solve(centred.T @ centred + 10.0 * np.eye(3), centred.T @ (ty - ty.mean()))
+    expected = (x - tx.mean(axis=0)) @ weights + ty.mean()
+    assert np.allclose(got, expected, atol=1e-8)
