@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from paceframe.llm.packing import op7_best_fit_packing
+from paceframe.llm.quality_classifier import op4_quality_classifier
+from paceframe.llm.quality_rules import op5_quality_rules
 from paceframe.llm.token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op6_token_files, op7_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op4_quality_classifier, op5_quality_rules, op6_token_files, op7_best_fit_packing)}
 SQL: dict[str, str] = {}
