@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from paceframe.llm.language_model import op2_language_model
 from paceframe.llm.licenses import op1_license_scan
 from paceframe.llm.line_dedup import OP8_SQL, op8_line_dedup
 from paceframe.llm.packing import op7_best_fit_packing
@@ -10,5 +11,5 @@ from paceframe.llm.quality_rules import op5_quality_rules
 from paceframe.llm.token_files import op6_token_files
 from paceframe.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_best_fit_packing, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_model, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_best_fit_packing, op8_line_dedup)}
 SQL: dict[str, str] = {"op8_line_dedup": OP8_SQL}
