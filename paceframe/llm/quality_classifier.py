@@ -195,5 +195,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return out.select("doc_id", (common.bucket("doc_id", FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold; edge cases as in ``quality_scores``."""
+    model = train(measured(docs.where(common.bucket(docs[id_col], FOLDS) != 0), id_col, text_col), labels)
+    at = docs.columns.index(text_col)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.array([measure(t.as_py() or "") for t in batch.column(at)], dtype=np.float64).reshape(-1, len(MEASURES))
+            yield batch.filter(pa.array(model.score(table) >= threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
