@@ -22,7 +22,7 @@ NAMES = {
     "apache-1.1": (("apache",), r"apache (?:software )?licen[sc]e(?: v(?:ersion)?)? 1 1", "apache 1 1"),
     "apache-2": (("apache",), r"apache(?: software)? licen[sc]e(?: v(?:ersion)?)?(?: 2| v2)(?: 0)?", "apache 2 0"),
     "bsd-0": (("bsd",), r"(?:zero|0) clause bsd(?: licen[sc]e)?", "0bsd"),
-    "bsd-2": (("bsd",), r"(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)(?: licen[sc]e)?", "bsd 2 clause"),
+    "bsd-2": (("bsd",), r"(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[sc]e)?", "bsd 2 clause"),
     "bsd-3": (("bsd",), r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd)(?: licen[sc]e)?", "bsd 3 clause"),
     "bsd-4": (("bsd",), r"(?:original bsd|bsd 4 clause|4 clause bsd)(?: licen[sc]e)?", "bsd 4 clause"),
     "bsd": (("bsd",), r"bsd(?: style)? licen[sc]e", ""),
@@ -58,17 +58,17 @@ NAMES = {
     "vim": (("vim",), r"vim licen[sc]e", "vim"),
     "odbl-1": (("database",), r"open (?:data commons open )?database licen[sc]e(?: v(?:ersion)?)?(?: 1 0)?", "odbl 1 0"),
     "odc-by-1": (("commons",), r"open data commons attribution licen[sc]e(?: v(?:ersion)?)?(?: 1 0)?", "odc by 1 0"),
-    "pddl-1": (("commons",), r"(?:open data commons )?public domain dedication and licen[sc]e(?: v(?:ersion)?)?(?: 1 0)?", "pddl 1 0"),
+    "pddl-1": (("dedication",), r"(?:open data commons )?public domain dedication and licen[sc]e(?: v(?:ersion)?)?(?: 1 0)?", "pddl 1 0"),
     "elastic-2": (("elastic",), r"elastic licen[sc]e(?: v(?:ersion)?)?(?: 2(?: 0)?)?", "elastic 2 0"),
     "sspl-1": (("server",), r"server side public licen[sc]e(?: v(?:ersion)?)?(?: 1)?", "sspl 1 0"),
 }
 
-# Families with versions; the label is the family's and the version, "-or-later" where the text says so.
+# Families with versions: name with its keyword, short name, versions; the label is the family's and the version, "-or-later" where the text says so.
 GNU = {
-    "gpl": (r"(?:gnu )?general public licen[sc]e|(?:gnu )?gpl", ("1", "2", "3")),
-    "lgpl": (r"(?:gnu )?(?:lesser|library) general public licen[sc]e|(?:gnu )?lgpl", ("2", "2 1", "3")),
-    "agpl": (r"(?:gnu )?affero general public licen[sc]e|(?:gnu )?agpl", ("1", "3")),
-    "gfdl": (r"(?:gnu )?free documentation licen[sc]e|(?:gnu )?fdl", ("1 1", "1 2", "1 3")),
+    "gpl": (r"(?:gnu )?general public licen[sc]e", "general", r"(?:gnu )?gpl", ("1", "2", "3")),
+    "lgpl": (r"(?:gnu )?(?:lesser|library) general public licen[sc]e", "general", r"(?:gnu )?lgpl", ("2", "2 1", "3")),
+    "agpl": (r"(?:gnu )?affero general public licen[sc]e", "affero", r"(?:gnu )?agpl", ("1", "3")),
+    "gfdl": (r"(?:gnu )?free documentation licen[sc]e", "documentation", r"(?:gnu )?gfdl", ("1 1", "1 2", "1 3")),
 }
 CC_PARTS = {
     "by": "attribution", "by-sa": "attribution share ?alike", "by-nd": "attribution no ?deriv(?:ative)?s(?: works)?", "by-nc": "attribution non ?commercial",
@@ -136,18 +136,18 @@ def build_rules() -> list[Rule]:
     for label, (keywords, name, spdx) in NAMES.items():
         rules += _cited(label, keywords, name, spdx, titled=label != "mit")
     rules.append(_rule("title", "mit", 60, ("mit", "licen"), r"(?:the )?mit licen[sc]e", 0.6))
-    for family, (name, versions) in GNU.items():
-        keyword = ("documentation",) if family == "gfdl" else ("licen",)
+    for family, (name, keyword, short, versions) in GNU.items():
         for v in versions:
             label = f"{family}-{v.replace(' ', '.')}"
             number = rf"(?: as published by the free software foundation)?(?: either)?(?: v(?:ersion)?)? ?v?{v}(?: 0)?"
             for suffix, tail, priority in (("", "", 0), ("-or-later", r"(?: of the licen[sc]e)? or (?:at your option )?(?:any )?later(?: version)?", 2)):
-                rules.append(_rule("grant", label + suffix, 80 + priority, keyword, _GRANT + rf"(?:{name}){number}{tail}", 0.9))
-                rules.append(_rule("title", label + suffix, 60 + priority, (family[-3:],) if family != "gfdl" else keyword, rf"(?:the )?{family}{number}{tail}", 0.6))
-                rules.append(_rule("name", label + suffix, 61 + priority, ("general",) if family != "gfdl" else keyword, rf"(?:the )?(?:{name}){number}{tail}", 0.7))
+                for form, spelled, needs in (("name", name, keyword), ("short", short, family)):
+                    rules.append(_rule(f"grant-{form}", label + suffix, 80 + priority, (needs,), _GRANT + rf"(?:{spelled}){number}{tail}", 0.9))
+                    rules.append(_rule(form, label + suffix, 60 + priority, (needs,), rf"(?:the )?(?:{spelled}){number}{tail}", 0.7))
             rules.append(_rule("spdx", label, 90, ("spdx",), rf"spdx licen[sc]e identifier {family} {v}(?: 0)?(?: only)?", 0.95))
             rules.append(_rule("spdx", f"{label}-or-later", 91, ("spdx",), rf"spdx licen[sc]e identifier {family} {v}(?: 0)? or later", 0.95))
-        rules.append(_rule("name", family, 55, ("general",) if family != "gfdl" else keyword, rf"(?:the )?(?:{name})", 0.5))
+        rules.append(_rule("name", family, 55, (keyword,), rf"(?:the )?(?:{name})", 0.5))
+        rules.append(_rule("short", family, 54, (family,), rf"(?:the )?(?:{short})", 0.4))
     for parts, words in CC_PARTS.items():
         spelled = parts.replace("-", " ")
         for v in CC_VERSIONS:

@@ -85,9 +85,11 @@ def limits(measured: DataFrame) -> DataFrame:
     upper = lambda a, m: (F.get(F.col(f"{a}.{m}"), F.lit(1)) + SPREAD * F.greatest(F.get(F.col(f"{a}.{m}"), F.lit(1)) - F.get(F.col(f"{a}.{m}"), F.lit(0)), F.lit(MEASURES[m])))
     fine = measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketches.values()).alias("fine")
     lang = measured.groupBy("lang").agg(F.count("*").alias("n"), *sketches.values()).alias("lang")
-    every = measured.groupBy(F.lit(0).alias("k")).agg(*sketches.values()).alias("every")
-    joined = fine.join(lang, F.col("fine.lang").eqNullSafe(F.col("lang.lang"))).join(every, F.col("every.k") == F.when(F.col("fine.n") >= 0, F.lit(0)), "left")
-    own = lambda m: F.when(F.col("fine.n") >= MIN_GROUP, upper("fine", m)).when(F.col("lang.n") >= MIN_GROUP, upper("lang", m)).otherwise(upper("every", m)).alias(f"max_{m}")
+    # One row, or none for an empty table: it is read here and stands in the plan as numbers.
+    every = measured.agg(*sketches.values()).first()
+    joined = fine.join(lang, F.col("fine.lang").eqNullSafe(F.col("lang.lang")))
+    overall = {m: float(q[1] + SPREAD * max(q[1] - q[0], MEASURES[m])) if (q := every[m]) else None for m in MEASURES}
+    own = lambda m: F.when(F.col("fine.n") >= MIN_GROUP, upper("fine", m)).when(F.col("lang.n") >= MIN_GROUP, upper("lang", m)).otherwise(F.lit(overall[m])).alias(f"max_{m}")
     return joined.select(F.col("fine.lang").alias("lang"), F.col("fine.source").alias("source"), *[own(m) for m in MEASURES])
 
 
