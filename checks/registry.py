@@ -390,7 +390,7 @@ add(
         ["athlete_id", "date"], ["previous_day_load", "previous_day_duration"],
     ),
     build(
-        "select a.athlete_id, a.date, round(b.load, 4) as previous_day_load, round(b.duration, 4) as previous_day_duration from canon a left join canon b on a.athlete_id = b.athlete_id and b.date = a.date - 1",
+        "select athlete_id, date, case when lag(date) over w = date - 1 then round(lag(load) over w, 4) end as previous_day_load, case when lag(date) over w = date - 1 then round(lag(duration) over w, 4) end as previous_day_duration from canon window w as (partition by athlete_id order by date)",
         "canon",
     ),
 )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paceframe.functions.numbers import settle, to_number
-from paceframe.keys import ATHLETE, DATE, top_per
+from paceframe.keys import ATHLETE, DATE, DAY, by_days, top_per, with_day
 
 _META = {ATHLETE, DATE, "source_file", "record_ordinal"}
 
@@ -116,10 +116,10 @@ def dense_calendar(df: DataFrame) -> DataFrame:
 
 def previous_day(df: DataFrame, columns: Sequence[str], prefix: str = "previous_day_") -> DataFrame:
     """Values of the calendar day before, null when that day has no row."""
-    before = df.select(
-        ATHLETE, F.date_add(F.col(DATE), 1).alias(DATE), *[F.col(c).alias(f"{prefix}{c}") for c in columns]
-    )
-    return df.join(before, [ATHLETE, DATE], "left")
+    frame = with_day(df)
+    yesterday = by_days(-1, -1)
+    out = frame.withColumns({f"{prefix}{c}": F.first(c).over(yesterday) for c in columns})
+    return out if DAY in df.columns else out.drop(DAY)
 
 
 def override_running(df: DataFrame, totals: DataFrame) -> DataFrame:

@@ -4,42 +4,58 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from paceframe.functions.numbers import clamp, or_zero
+from paceframe.functions.numbers import or_zero
 from paceframe.keys import ATHLETE, DAY, by_rows, with_day
 
 
-def carry_rows(decay: float) -> int:
-    """Rows after which a linear carry has lost all double precision."""
-    return math.ceil(math.log(1e-16) / math.log(decay))
+def _block(decay: float) -> int:
+    """Rows of a block: few enough that ``decay ** -rows`` stays far from overflow."""
+    return max(2, min(512, math.floor(math.log(1e-12) / math.log(decay))))
 
 
 def linear_carry(df: DataFrame, column: str, out: str, decay: float) -> DataFrame:
-    """``c = decay * c + (1 - decay) * x`` by row, starting from zero.
+    """``c = decay * c + (1 - decay) * x`` by row, starting from zero; null inputs leave the state as it is.
 
-    The fold runs over a bounded frame: older rows weigh less than 1e-16.
+    Rows are numbered and cut into blocks. Within a block the state is a running
+    sum of inputs scaled by powers of the decay; what finished blocks carry over
+    is folded from one total per block. Nothing is cut off, and a row costs the
+    same in a long history as in a short one.
     """
-    frame = with_day(df)
-    recent = F.collect_list(column).over(by_rows(-carry_rows(decay), 0))
-    frame = frame.withColumn("_recent", recent)
-    state = F.aggregate("_recent", F.lit(0.0), lambda c, x: c * decay + (1.0 - decay) * x)
-    return frame.withColumn(out, state).drop("_recent")
-
-
-def _asymmetric_step(previous: Column, row: Column) -> Column:
+    size = _block(decay)
+    x = F.col(column)
+    frame = with_day(df).withColumn("_n", F.count(x).over(by_rows(Window.unboundedPreceding, 0)) - 1)
+    frame = frame.withColumns({"_b": F.floor(F.col("_n") / size), "_j": F.pmod(F.col("_n"), F.lit(size))})
+    inside = Window.partitionBy(ATHLETE, "_b").orderBy(DAY).rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.sum(x * F.pow(F.lit(1.0 / decay), F.col("_j"))).over(inside)
+    frame = frame.withColumn("_s", (1.0 - decay) * F.coalesce(grown, F.lit(0.0)) * F.pow(F.lit(decay), F.col("_j")))
+    # A block's last value is its total; the list has one entry for each finished block.
+    total_ = F.when(x.isNotNull() & (F.col("_j") == size - 1), F.col("_s"))
+    frame = frame.withColumn("_t", F.collect_list(total_).over(by_rows(Window.unboundedPreceding, -1)))
+    # A row that repeats the number of a block's last row has that block in its own sum already.
+    finished = F.slice("_t", 1, F.greatest(F.col("_b"), F.lit(0)).cast("int"))
+    before = F.aggregate(finished, F.lit(0.0), lambda c, t: c * decay**size + t)
+    state = F.col("_s") + before * F.pow(F.lit(decay), F.col("_j") + 1)
+    return frame.withColumn(out, F.when(F.col("_n") >= 0, state).otherwise(0.0)).drop("_n", "_b", "_j", "_s", "_t")
+
+
+def next_state(previous: float, value: float, km: float, recovery: float, load: float) -> float:
     """Rise by 70 percent of the gap; else decay at a rate set by the context."""
-    value, km, recovery, load = row["value"], row["km"], row["recovery"], row["load"]
-    decay = (
-        F.when((km >= 80) | (recovery >= 55) | (load >= 70), 0.97)
-        .when((km <= 35) & (recovery <= 35) & (load <= 45), 0.88)
-        .when((km <= 50) & (recovery <= 45) & (load <= 55), 0.91)
-        .otherwise(0.94)
-    )
-    rise = clamp(previous + 0.70 * (value - previous))
-    fall = clamp(F.greatest(value, previous * decay))
-    return F.when(value.isNull(), previous).when(value > previous, rise).otherwise(fall)
+    if value > previous:
+        return min(100.0, max(0.0, previous + 0.70 * (value - previous)))
+    if km >= 80 or recovery >= 55 or load >= 70:
+        decay = 0.97
+    elif km <= 35 and recovery <= 35 and load <= 45:
+        decay = 0.88
+    elif km <= 50 and recovery <= 45 and load <= 55:
+        decay = 0.91
+    else:
+        decay = 0.94
+    return min(100.0, max(0.0, max(value, previous * decay)))
 
 
 def asymmetric_state(
@@ -52,36 +68,22 @@ def asymmetric_state(
 ) -> DataFrame:
     """Non-linear carry over the whole history; null input, null output.
 
-    Each athlete's rows become one array (at most one entry per calendar day),
-    which is folded once and laid out as rows again.  The rows are already
-    clustered by athlete, so this adds no exchange.
+    The step depends on the state before, which no window can express, so each
+    athlete's rows (at most one per calendar day) pass a small Arrow step in
+    order; other columns only pass through. Cost is linear in the history.
     """
     frame = with_day(df)
-    names = [c for c in frame.columns if c not in (ATHLETE, DAY)]
-    payload = F.struct(
-        F.col(DAY),
-        F.col(column).alias("value"),
-        (or_zero(km) / 1000.0).alias("km"),
-        or_zero(recovery).alias("recovery"),
-        or_zero(load).alias("load"),
-        F.struct(*names).alias("row"),
-    )
-    history = frame.groupBy(ATHLETE).agg(
-        F.array_sort(F.collect_list(payload), lambda a, b: a[DAY] - b[DAY]).alias("_history")
-    )
-    start = F.struct(F.lit(0.0).alias("state"), F.array().cast("array<double>").alias("states"))
-
-    def step(acc: Column, row: Column) -> Column:
-        state = _asymmetric_step(acc["state"], row)
-        shown = F.when(row["value"].isNotNull(), state)
-        return F.struct(state.alias("state"), F.array_append(acc["states"], shown).alias("states"))
-
-    folded = history.withColumn("_states", F.aggregate("_history", start, step, lambda acc: acc["states"]))
-    zipped = F.arrays_zip(F.col("_history"), F.col("_states").alias("_states"))
-    rows = folded.select(ATHLETE, F.explode(zipped).alias("_r"))
-    return rows.select(
-        ATHLETE,
-        F.col(f"_r._history.{DAY}").alias(DAY),
-        *[F.col(f"_r._history.row.{c}").alias(c) for c in names],
-        F.col("_r._states").alias(out),
-    )
+    inputs = {"_value": F.col(column).cast("double"), "_km": or_zero(km) / 1000.0, "_recovery": or_zero(recovery), "_load": or_zero(load)}
+    named, names = frame.withColumns(inputs), list(inputs)
+    shape = StructType([*frame.schema.fields, StructField(out, DoubleType())])
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(DAY)
+        state, states = 0.0, []
+        for value, km_, recovery_, load_ in zip(*(table.column(c).to_pylist() for c in names), strict=True):
+            if value is not None:
+                state = next_state(state, value, km_, recovery_, load_)
+            states.append(None if value is None else state)
+        return table.drop_columns(names).append_column(out, pa.array(states, pa.float64()))
+
+    return named.groupBy(ATHLETE).applyInArrow(fold, shape)

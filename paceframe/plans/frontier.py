@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paceframe import fixed
 from paceframe.functions import risk
 from paceframe.functions.numbers import clamp, total
-from paceframe.keys import ATHLETE, DATE, with_day
+from paceframe.keys import ATHLETE, DATE, top_per, with_day
 from paceframe.operators.daily import one_per_day
 from paceframe.operators.embeddings import normalised, reference_similarity, reference_windows, window_centroids
 from paceframe.operators.state import asymmetric_state
@@ -60,6 +60,13 @@ def weighted_strain(novelty_: Column, forecast: Column, similarity: Column) -> C
     return F.when(weight > 0, clamp(amount / weight))
 
 
+def chosen_events(events: DataFrame, event_id: str | None = None) -> DataFrame:
+    """One event per athlete: the named one, or the first by onset and id."""
+    named = events.filter(F.col("event_id") == event_id) if event_id is not None else events
+    order = [F.col("onset_date").asc_nulls_last(), F.col("event_id").asc(), F.col("symptom_window_start").asc()]
+    return top_per(named, [ATHLETE], order, 1)
+
+
 def enrich_frontier(
     scores: DataFrame,
     embeddings: DataFrame,
@@ -67,11 +74,13 @@ def enrich_frontier(
     contrastive: DataFrame | None = None,
     reference_events: DataFrame | None = None,
     dim: int = fixed.EMBEDDING_DIM,
+    event_id: str | None = None,
 ) -> DataFrame:
     """Add learned-state columns where vectors and forecasts exist.
 
-    ``reference_events`` has one row per athlete; leave it out to keep events
-    from influencing the score at all.
+    One of an athlete's ``reference_events`` shapes the score: the one called
+    ``event_id``, or else the first by onset and id. Leave the events out to
+    keep them from influencing the score at all.
     """
     frame = scores.join(
         embeddings.select(ATHLETE, DATE, "anomaly_zscore", "embedding_distance", "z"), [ATHLETE, DATE], "left"
@@ -88,7 +97,7 @@ def enrich_frontier(
         frame = frame.withColumns({"actual": F.lit(None).cast("double"), "prediction": F.lit(None).cast("double")})
     frame = forecast_surprise(novelty(with_day(frame)))
     if reference_events is not None:
-        windows = reference_windows(reference_events, REFERENCE_AFTER_DAYS)
+        windows = reference_windows(chosen_events(reference_events, event_id), REFERENCE_AFTER_DAYS)
         frame = reference_similarity(frame, window_centroids(embeddings, windows, ["event_id"], dim))
     else:
         frame = frame.withColumns(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,22 +63,21 @@ def read_event_config(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return events, periods
 
 
-def stage_directory(spark: SparkSession) -> str:
-    """A fresh directory below the cluster's checkpoint folder.
+def stage_directory(spark: SparkSession, parent: str | None = None) -> str:
+    """A fresh directory in shared storage: below ``parent``, else the checkpoint folder, else the warehouse.
 
-    Only when none is configured, as in local tests, a local one is made.
+    The warehouse of a session without settings is a local folder, which only a
+    session of one process may use.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="paceframe-")
+    base = parent or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        local = base.startswith("file:") or "://" not in base
+        if local and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/paceframe/{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write a table once and go on from the written copy; cuts the lineage."""
-    path = stage_directory(spark)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def register_views(tables: dict[str, DataFrame]) -> None:
     """Name tables for Spark SQL."""
     for name, df in tables.items():
