@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
         made, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u2").tobytes()
         ranks = np.zeros(capacity + 1, dtype=np.int64)
-        for doc_ids, texts in common.steps(batches):
+        for doc_ids, texts in common.steps(batches, tokens.STEP_CHARS):
             rows = []
             for doc, data in zip(doc_ids, made.encode(texts), strict=True):
                 ids = np.frombuffer(data + end, "<u2").astype("<u4")

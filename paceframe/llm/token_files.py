@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         made = tokens.encoder(tokenizer)
         end = np.array([end_id], dtype="<u2").tobytes()
         doc_ids, ids, total = [], [], 0
-        for some_ids, texts in common.steps(batches):
+        for some_ids, texts in common.steps(batches, tokens.STEP_CHARS):
             for doc, data in zip(some_ids, made.encode(texts), strict=True):
                 doc_ids.append(doc)
                 ids.append(data + end)

@@ -17,13 +17,19 @@ import numpy as np
 
 #: Parts that a worker remembers at most.
 MEMO = 900_000
+#: Characters of text whose parts are held at a time.
+STEP_CHARS = 2_000_000
 #: Parts that go to the library in one call.
 CALL = 4_000
 #: White space of Unicode, as the tokenizers see it.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _CUT = re.compile(f"(?<![{_WHITE}])(?=[ \n])")
-#: A blank or line end that does not begin a run of white space.
-_RUN = re.compile(f"[{_WHITE}\x1c-\x1f][ \n]|\\A[ \n]")
+_OTHER_WHITE = "".join(c for c in _WHITE + "\x1c\x1d\x1e\x1f" if c not in " \n")
+
+
+def _plain_runs(text: str) -> bool:
+    """Every run of white space is one blank or line end, and none stands in front."""
+    return text[:1] not in (" ", "\n") and not any(c in text for c in ("  ", "\n\n", " \n", "\n ", *_OTHER_WHITE))
 
 
 class Encoder:
@@ -58,7 +64,7 @@ class Encoder:
         """Parts of a text; a part in a pair is encoded as it stands, another has lost the blank in front of it."""
         if self.of_words:
             return text.lower().replace("\n", " ").split(" ")
-        if _RUN.search(text):
+        if not _plain_runs(text):
             return [("", p) for p in _CUT.split(text)]
         first, *rest = text.replace("\n", " \n").split(" ")
         return [("", first), *rest]
