@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,54 +188,51 @@ def nearest_earlier(
 ) -> DataFrame:
     """The ``k`` nearest earlier days of each day, exactly.
 
-    An athlete's days are cut into calendar blocks.  Each pair of blocks is one
-    task-sized unit whose distances are formed as a matrix; only the best ``k``
-    per day leave it, and they are merged by a bounded ranking.  No pair of
-    days is ever a row, and a long history is spread over many tasks.
+    An athlete's days are cut into calendar blocks. A unit of work is one block
+    of query days with all blocks up to it: units are dealt by athlete and block,
+    so a long history is spread over many tasks, and each candidate block travels
+    once to each of them. Distances are formed block against block and only the
+    best ``k`` per day are kept from one block to the next.
     """
     frame = with_day(df).filter(F.col(vector).isNotNull())
     frame = frame.withColumns({"_block": F.floor(F.col(DAY) / _BLOCK_DAYS), "_is_query": query if query is not None else F.lit(True)})
-    entry = F.struct(DAY, F.col(vector).cast("array<double>").alias("v"))
-
-    def packed(rows: DataFrame, side: str) -> DataFrame:
-        days = F.array_sort(F.collect_list(entry), lambda a, b: a[DAY] - b[DAY])
-        out = rows.groupBy(ATHLETE, F.col("_block").alias(f"{side}_block")).agg(days.alias("_rows"))
-        return out.select(ATHLETE, f"{side}_block", *[F.col(f"_rows.{f}").alias(f"{side}_{f}") for f in (DAY, "v")])
-
-    queries = packed(frame.filter("_is_query"), "q")
-    candidates = packed(frame.filter(candidate) if candidate is not None else frame, "c")
-    pairs = queries.join(candidates, ATHLETE).filter(F.col("c_block") <= F.col("q_block"))
-
-    def best_of_pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            outs = []
-            for row in batch.itertuples(index=False):
-                q_day, c_day = np.asarray(row.q_day), np.asarray(row.c_day)
-                q = np.vstack(row.q_v).astype(float)
-                c = np.vstack(row.c_v).astype(float)
-                gaps = np.stack([np.sqrt(((c - v) ** 2).sum(axis=1)) for v in q])
-                gaps = np.where(c_day[None, :] < q_day[:, None] - exclude_days, gaps, np.inf)
-                order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-                picked = np.take_along_axis(gaps, order, axis=1)
-                keep = np.isfinite(picked)
-                rows, places = np.nonzero(keep)
-                outs.append(
-                    pd.DataFrame(
-                        {
-                            ATHLETE: [getattr(row, ATHLETE)] * len(rows),
-                            DAY: q_day[rows],
-                            "neighbor_day": c_day[order[rows, places]],
-                            "neighbor_distance": picked[rows, places],
-                        }
-                    )
-                )
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    id_type = df.schema[ATHLETE].dataType.simpleString()
-    found = pairs.mapInPandas(best_of_pair, f"{ATHLETE} {id_type}, {DAY} int, neighbor_day int, neighbor_distance double")
-    order = [F.col("neighbor_distance"), F.col("neighbor_day")]
-    best = top_per(found, [ATHLETE, DAY], order, k, rank="neighbor_rank")
+    columns = [ATHLETE, "_block", DAY, F.col(vector).cast("array<double>").alias("v")]
+    queries = frame.filter("_is_query").select(*columns)
+    targets = queries.select(ATHLETE, F.col("_block").alias("_target")).distinct()
+    candidates = (frame.filter(candidate) if candidate is not None else frame).select(*columns)
+    # Packed, so that days are not rows where blocks meet.
+    blocks = candidates.groupBy(ATHLETE, "_block").agg(F.collect_list(F.struct(DAY, "v")).alias("days"))
+    sent = blocks.join(targets, ATHLETE).filter(F.col("_block") <= F.col("_target"))
+    sent = sent.select(F.col(ATHLETE).alias("_to"), F.col("_target").alias("_to_block"), "days")
+    id_type = df.schema[ATHLETE].dataType
+
+    def vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def best_of_block(q: pa.Table, c: pa.Table) -> pa.Table:
+        q_day = q.column(DAY).to_numpy()
+        q_v = vectors(q.column("v")) if len(q_day) else np.zeros((0, 0))
+        best = (np.full((len(q_day), 0), np.inf), np.zeros((len(q_day), 0), np.int32))
+        for days in c.column("days") if len(q_day) else ():
+            entries = days.values
+            day = entries.field(DAY).to_numpy(zero_copy_only=False)
+            order = np.argsort(day)
+            day, v = day[order], vectors(entries.field("v"))[order]
+            gaps = np.sqrt(((v[None, :, :] - q_v[:, None, :]) ** 2).sum(axis=2))
+            gaps = np.where(day[None, :] < q_day[:, None] - exclude_days, gaps, np.inf)
+            gaps, day = np.hstack([best[0], gaps]), np.hstack([best[1], np.broadcast_to(day, gaps.shape)])
+            # Nearest first, and of equally near days the earliest.
+            first = np.lexsort((day, gaps), axis=1)[:, :k]
+            best = np.take_along_axis(gaps, first, axis=1), np.take_along_axis(day, first, axis=1)
+        row, place = np.nonzero(np.isfinite(best[0]))
+        return pa.table({
+            ATHLETE: q.column(ATHLETE).take(pa.array(row)), DAY: pa.array(q_day[row], pa.int32()), "neighbor_rank": pa.array(place + 1, pa.int32()),
+            "neighbor_day": pa.array(best[1][row, place], pa.int32()), "neighbor_distance": pa.array(best[0][row, place], pa.float64()),
+        })
+
+    shape = f"{ATHLETE} {id_type.simpleString()}, {DAY} int, neighbor_rank int, neighbor_day int, neighbor_distance double"
+    best = queries.groupBy(ATHLETE, "_block").cogroup(sent.groupBy("_to", "_to_block")).applyInArrow(best_of_block, shape)
     return best.select(
         ATHLETE,
         F.date_from_unix_date(DAY).alias(DATE),
