@@ -360,12 +360,12 @@ add(
 add(
     "tree_baseline", "M11,M14",
     lambda s, d: show(
-        datasets.regression_metrics(learners.tree_predictions(_supervised(s, d), rounds=3), "target", "trees", "split"), ["split"], ["mae", "rmse"], ["n"]
+        datasets.regression_metrics(learners.tree_predictions(_supervised(s, d)), "target", "trees", "split"), ["split"], ["mae", "rmse"], ["n"]
     ),
 )
 add(
     "window_state_embeddings", "M12",
-    lambda s, d: learners.state_embeddings(_windows(s, d), 8).select(*KEY, "split", F.round(norm("z"), 4).alias("length")),
+    lambda s, d: learners.state_embeddings(_windows(s, d)).select(*KEY, "split", F.round(norm("z"), 4).alias("length")),
 )
 DRIVERS = ["running_distance_m", "running_duration_seconds", "readiness_score", "readiness_hrvWeeklyAverage", "wellness_restingHeartRate", "sleep_total_seconds", "activity_training_load"]
 add(
@@ -405,15 +405,22 @@ add(
 
 # --- data quality ------------------------------------------------------------------------------
 
-_CHECKED = ["activity_distance_m", "running_distance_m", "cycling_avg_hr", "readiness_score", "sleep_total_seconds", "activity_count"]
+# Every column of the daily table: totals, then five measures by sport, then the other sources.
+_WHOLE = ["activity_count", "activity_type_count", *[f"{f}_activity_count" for f in ("running", "cycling", "hiking", "swimming", "other")]]
+_MEASURES = ["duration_seconds", "distance_m", "training_load", "elevation_gain", "avg_hr", "max_hr", "aerobic_training_effect", "anaerobic_training_effect"]
+_CHECKED = [
+    *_WHOLE, *[f"{f}_{m}" for f in ("activity", "running", "cycling", "hiking", "swimming", "other") for m in _MEASURES], "impact_weighted_duration_seconds", "impact_weighted_distance_m",
+    "fatigue_weighted_duration_seconds", "readiness_score", "readiness_hrvWeeklyAverage", "wellness_restingHeartRate", "sleep_total_seconds", "wellness_bodyBattery_chargedValue",
+    "wellness_bodyBattery_drainedValue",
+]
 _MISSING = " union all ".join(
-    f"select '{c}' as \"column\", count(*) - count({c}) as missing_count, round((count(*) - count({c}))::double / count(*) * 100, 2) as missing_pct, count({c}) as non_null_count, '{'bigint' if c == 'activity_count' else 'double'}' as dtype from daily"
+    f"select '{c}' as \"column\", count(*) - count({c}) as missing_count, round((count(*) - count({c}))::double / count(*) * 100, 2) as missing_pct, count({c}) as non_null_count, '{'bigint' if c in _WHOLE else 'double'}' as dtype from daily"
     for c in _CHECKED
 )
 add("missingness", "A07", lambda s, d: quality.missingness(kept(s, d, "daily"), _CHECKED), build(_MISSING, "daily"))
 add(
-    "most_missing_columns", "O08", lambda s, d: quality.most_missing(kept(s, d, "daily"), _CHECKED, 3),
-    build(f'select * from ({_MISSING}) order by missing_pct desc, "column" limit 3', "daily"),
+    "most_missing_columns", "O08", lambda s, d: quality.most_missing(kept(s, d, "daily"), _CHECKED),
+    build(f'select * from ({_MISSING}) order by missing_pct desc, "column" limit 40', "daily"),
 )
 _STATS = ["count", "mean", "std", "min", "p05", "p25", "p50", "p75", "p95", "max", "missing_pct"]
 _DESC = " union all ".join(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paceframe import fixed
 from paceframe.functions.numbers import fixed_text, texts
-from paceframe.keys import ATHLETE, DATE, by_days, top_per, with_day
+from paceframe.keys import ATHLETE, DATE, by_days, per_athlete, top_per, with_day
 
 
 def _assembled(df: DataFrame, vector: str = "vector") -> DataFrame:
@@ -85,8 +85,7 @@ def flagged_day() -> Column:
 
 def flagged_days(scores: DataFrame, recent_days: int = 90) -> DataFrame:
     """Flagged days of each athlete's most recent stretch."""
-    last = scores.groupBy(ATHLETE).agg(F.max(DATE).alias("_last"))
-    recent = scores.join(last, ATHLETE).filter(F.col(DATE) >= F.date_add("_last", -recent_days))
+    recent = scores.withColumn("_last", F.max(DATE).over(per_athlete())).filter(F.col(DATE) >= F.date_add("_last", -recent_days))
     return recent.filter(flagged_day()).drop("_last")
 
 

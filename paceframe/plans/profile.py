@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceframe.functions.numbers import exact_round, fixed_text, km_from_meters, km_text, or_zero, short_number, spaced, texts
-from paceframe.keys import ATHLETE, DATE, col_or_null, latest_first, top_per, with_day
+from paceframe.keys import ATHLETE, DATE, col_or_null, latest_first, per_athlete, top_per, with_day
 from paceframe.operators.periods import active_period, first_period_of_day
 
 
@@ -291,8 +291,7 @@ PACK_TIERS = ["watch", "investigate_state", "adjust_training"]
 
 def context_packs(scores: DataFrame, periods: DataFrame, recent_days: int = 14, n: int = 5) -> DataFrame:
     """Facts for each athlete's newest flagged days, with the period around them."""
-    last = scores.groupBy(ATHLETE).agg(F.max(DATE).alias("_last"))
-    recent = with_day(scores).join(last, ATHLETE).filter(F.col(DATE) >= F.date_add("_last", -recent_days))
+    recent = with_day(scores).withColumn("_last", F.max(DATE).over(per_athlete())).filter(F.col(DATE) >= F.date_add("_last", -recent_days))
     flagged = recent.filter(F.col("operational_alert_tier").isin(PACK_TIERS))
     newest = top_per(flagged, [ATHLETE], [F.col("day").desc()], n, rank="place")
     joined = active_period(newest, periods, "period_summary", "dominant_bone_stress_reason")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paceframe.functions.numbers import exact_round, or_zero, texts
-from paceframe.keys import ATHLETE, DATE, col_or_null, top_per, with_day
+from paceframe.keys import ATHLETE, DATE, col_or_null, per_athlete, top_per, with_day
 from paceframe.plans.scenarios import adjustment_plan
 
 # --- fixed values: bases of the three tracks ---
@@ -303,9 +303,8 @@ def compare_ranges(scores: DataFrame, ranges: dict[str, tuple[str, str]]) -> Dat
 
 def recent_trend(scores: DataFrame, days: int = 30) -> DataFrame:
     """Change, peaks and alert counts over each athlete's latest days."""
-    last = scores.groupBy(ATHLETE).agg(F.max(DATE).alias("end_date"))
     start = F.date_add("end_date", 1 - days)
-    rows = scores.join(last, ATHLETE).filter(F.col(DATE) >= start)
+    rows = scores.withColumn("end_date", F.max(DATE).over(per_athlete())).filter(F.col(DATE) >= start)
     score = F.col("integrated_bone_stress_score")
 
     def change(column: str, scale: float, digits: int) -> Column:
