@@ -33,7 +33,7 @@ def awkward() -> list[tuple]:
 
 
 def table(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).coalesce(2)
 
 
 def with_clashes(df):
