@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -59,7 +60,8 @@ def main(argv: list[str]) -> int:
     spark = (
         SparkSession.builder.master("local[8]").config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paceframe-compare-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
