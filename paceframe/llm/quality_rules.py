@@ -114,3 +114,39 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.documents(spark, sf_dir))
+
+
+def _op5_sql() -> str:
+    """Exact quantiles: where groups have fewer rows than the sketches' accuracy, both are the same."""
+    share = {
+        "symbol_share": "n_symbols / nullif(word_chars, 0)", "exclaim_share": "n_exclaim / nullif(word_chars, 0)", "upper_share": "n_upper / nullif(word_chars, 0)",
+        "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "repeat_share": "n_repeat_words / nullif(n_words, 0)",
+    }
+    least = {"symbol_share": 0.01, "exclaim_share": 0.01, "upper_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.05}
+    limit = lambda m: f"quantile_disc({m}, 0.75) + 3 * greatest(quantile_disc({m}, 0.75) - quantile_disc({m}, 0.25), {least[m]}e0) AS {m}"
+    limits_of = lambda by: f"SELECT {by}, count(*) AS n, {', '.join(map(limit, share))} FROM s GROUP BY ALL"
+    above = [f"CASE WHEN s.{m} > CASE WHEN f.n >= 100 THEN f.{m} WHEN g.n >= 100 THEN g.{m} ELSE e.{m} END THEN '{m}' END" for m in share]
+    return f"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents
+),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i) WHERE len(w) >= 8),
+rep AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS k FROM win) WHERE k > 1),
+cov AS (SELECT doc_id, sum(least(8, coalesce(following - i, 8))) AS n FROM rep GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclaim, len(l) AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id)
+),
+s AS (SELECT *, {', '.join(f"coalesce(({x})::DOUBLE, 0) AS {k}" for k, x in share.items())} FROM m),
+f AS ({limits_of('lang, source')}), g AS ({limits_of('lang')}), e AS ({limits_of('0 AS k')}),
+j AS (
+  SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {', '.join(above)}) AS reasons
+  FROM s JOIN f ON s.lang IS NOT DISTINCT FROM f.lang AND s.source IS NOT DISTINCT FROM f.source JOIN g ON s.lang IS NOT DISTINCT FROM g.lang, e
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND reasons = '' AS kept, reasons FROM j
+"""
+
+
+OP5_SQL = _op5_sql()
