@@ -368,6 +368,10 @@ add(
     lambda s, d: learners.state_embeddings(_windows(s, d)).select(*KEY, "split", F.round(norm("z"), 4).alias("length")),
 )
 DRIVERS = ["running_distance_m", "running_duration_seconds", "readiness_score", "readiness_hrvWeeklyAverage", "wellness_restingHeartRate", "sleep_total_seconds", "activity_training_load"]
+_DRIVER_LABELS = {
+    "running_distance_m": "Running distance", "running_duration_seconds": "Running duration", "readiness_score": "Readiness", "readiness_hrvWeeklyAverage": "HRV",
+    "wellness_restingHeartRate": "Resting HR", "sleep_total_seconds": "Sleep duration", "activity_training_load": "Activity training load",
+}
 add(
     "state_drivers", "M13,P08",
     lambda s, d: learners.state_drivers(kept(s, d, "daily"), learners.flagged_days(kept(s, d, "scored")), DRIVERS),
@@ -375,7 +379,7 @@ add(
         f"""select athlete_id, date, 'Top latent-state drivers: ' || string_agg(driver, ', ' order by place) || '.' as frontier_attribution_summary,
   string_agg(driver || ' (' || format('{{:.3f}}', w) || ')', '; ' order by place) as frontier_attribution_drivers
 from (select *, row_number() over (partition by athlete_id, date order by w desc, driver) as place from (
-  select d.athlete_id, d.date, unnest([{', '.join(f"{{'driver': '{learners.feature_label(f)}', 'w': case when s_{f} > 1e-12 then round(abs({f} - m_{f}) / s_{f}, 9) end}}" for f in DRIVERS)}], recursive := true)
+  select d.athlete_id, d.date, unnest([{', '.join(f"{{'driver': '{_DRIVER_LABELS[f]}', 'w': case when s_{f} > 1e-12 then round(abs({f} - m_{f}) / s_{f}, 9) end}}" for f in DRIVERS)}], recursive := true)
   from (select athlete_id, date, datediff('day', date '1970-01-01', date) as day, {', '.join(DRIVERS)}, {', '.join(f"avg({f}) over w as m_{f}, stddev_pop({f}) over w as s_{f}" for f in DRIVERS)}
     from daily window w as (partition by athlete_id order by datediff('day', date '1970-01-01', date) range between 28 preceding and 1 preceding)) d
   semi join (select athlete_id, date from (select *, max(date) over (partition by athlete_id) as last from al) where date >= last - 90 and (operational_alert_tier in ('investigate_state', 'adjust_training')

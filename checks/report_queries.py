@@ -164,10 +164,17 @@ add(
         "targets", "bh",
     ),
 )
-_SIG = evaluation.TRACK_SIGNALS
+# Written out, so that a wrong value in the library shows.
+_SIG = {
+    "literature_high": ("literature_bone_stress_level", "high"),
+    "personalized_high": ("personalized_bone_stress_level", "high"),
+    "frontier_high": ("accumulated_frontier_level", "high"),
+    "all_agree": ("monitoring_signal_agreement", "all_agree"),
+    "mixed_signals": ("monitoring_signal_agreement", "mixed_signals"),
+}
 add(
     "first_signal_days", "V03",
-    lambda s, d: evaluation.first_signals(_targets(s, d), _scored(s, d), _SIG, 56),
+    lambda s, d: evaluation.first_signals(_targets(s, d), _scored(s, d), evaluation.TRACK_SIGNALS, 56),
     build(
         "select t.athlete_id, t.event_id, " + ", ".join(
             f"min(b.date) filter (where {c} = '{v}') as {n}_date, datediff('day', min(b.date) filter (where {c} = '{v}'), max(t.evaluation_end)) as {n}_lead_days" for n, (c, v) in _SIG.items()
