@@ -18,6 +18,7 @@ from paceframe.llm import common
 
 MIN_DOCS, MIN_CHARS = 10, 1
 FANOUT, BATCHES = 2, 4
+SALTS = 8
 _BLANKS = common.SPACES.encode()
 
 
@@ -106,8 +107,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     for k in range(batches):
         batch = lines.where(F.col("batch") == k).select("key")
         runs.add(batch)
-    # Common keys are joined to lines, not to documents: a key's rows can be split among tasks.
-    hits = lines.join(runs.common_keys(min_docs).hint("merge"), "key", "left_semi").select("id", "t", "key")
+    # A very common line has rows from a large share of the documents: they are dealt to SALTS tasks.
+    keys = runs.common_keys(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int"))
+    hits = salted.join(keys.hint("merge"), ["key", "salt"], "left_semi").select("id", "t", "key")
     drops = hits.groupBy("id", "t").agg(F.collect_set("key").alias("drop")).select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "drop")
     joined = base.join(drops, base["id"].eqNullSafe(drops["drop_id"]) & (base["t"] == drops["drop_t"]), "left").drop("drop_id", "drop_t", "t")
 
