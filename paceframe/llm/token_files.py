@@ -31,6 +31,8 @@ HAS_CHECKSUMS = 0x80
 #: In UTF-8: EA 92 8F, the magic number's last bytes.
 LAST_BYTES = "꒏"
 
+#: Parts that a worker remembers here, beside the shuffle's buffers.
+MEMO = 650_000
 _NO_ID = -(1 << 63)
 _SHARDS = pa.schema([("content", pa.binary())])
 _DOCS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -91,7 +93,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokens.encoder(tokenizer)
+        made = tokens.encoder(tokenizer, MEMO)
         end = np.array([end_id], dtype="<u2").tobytes()
         doc_ids, ids, total = [], [], 0
         for some_ids, texts in common.steps(batches, tokens.STEP_CHARS):

@@ -35,7 +35,7 @@ def _plain_runs(text: str) -> bool:
 class Encoder:
     """Ids of texts for a ``tokenizers`` file, as little-endian unsigned 16-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -55,6 +55,7 @@ class Encoder:
         if len(ids) != 1:
             raise ValueError("the parting character has no id of its own")
         self.mark_id = ids[0]
+        self.most = MEMO if memo is None else memo
         self.memo: dict = {}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -133,7 +134,7 @@ class Encoder:
         parts = [[] if w else self._parts(t) for t, w in zip(texts, whole, strict=True)]
         found = [list(map(memo.get, p)) for p in parts]
         new = {x for p, f in zip(parts, found, strict=True) if None in f for x, y in zip(p, f, strict=True) if y is None}
-        if len(memo) + len(new) > MEMO:
+        if len(memo) + len(new) > self.most:
             memo.clear()
         self._learn(new)
         out = []
@@ -148,9 +149,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int | None = None) -> Encoder:
     """The worker's encoder for a file."""
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, memo)
     return _ENCODERS[path]
