@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from paceframe.llm import common
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK_TOKENS = 2_000_000
+#: Tokens of a chunk: what a Python worker holds at a time.
+CHUNK_TOKENS = 1_200_000
 #: Distinct bigrams of all chunks that a segment holds, about; and the least number of segments.
 SEGMENT_KEYS, LEAST_SEGMENTS = 1_000_000, 64
 BITS_PER_ENTRY, PROBES = 10, 7
@@ -99,8 +100,8 @@ def expected_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3.0 * 2.0 ** (levels.astype(np.float64) - 1) - 1) / 2, 0.0)
 
 
-def text_chunks(docs: DataFrame) -> DataFrame:
-    """Rows of at most ``CHUNK_TOKENS`` tokens or one text: codes of the tokens and hashes of the distinct words (code 0: the end)."""
+def text_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Rows of about ``chunk_tokens`` tokens (a text is never cut): codes of the tokens and hashes of the distinct words (code 0: the end)."""
 
     def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -130,7 +131,7 @@ def text_chunks(docs: DataFrame) -> DataFrame:
                 ids.append(i)
                 lengths.append(len(found) + 1)
                 total += len(found) + 1
-                if total >= CHUNK_TOKENS:
+                if total >= chunk_tokens:
                     yield row(*state)
                     state, total, number = fresh(), 0, number + 1
         if state[0]:
@@ -147,11 +148,11 @@ class Chunk:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
         self.train = np.frombuffer(row["train"], np.bool_)
-        self.codes = _opened(row["codes"], "<u4").astype(np.int64)
+        self.codes = _opened(row["codes"], "<u4")
         self.words = np.frombuffer(row["words"], np.uint64)
         self.in_train = np.repeat(self.train, self.lengths)
         # Every document begins after an end.
-        self.history = np.concatenate([[0], self.codes[:-1]])
+        self.history = np.concatenate([np.zeros(1, np.uint32), self.codes[:-1]])
 
     def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct bigram keys, ascending; the key of each token; how often each is in training; the code of its history."""
@@ -160,6 +161,11 @@ class Chunk:
         return keys, inverse, np.bincount(inverse, self.in_train, len(keys)).astype(np.int64), self.history[first]
 
 
+def key_shift(total: int) -> int:
+    """Bits that a key can do without: any two of ``total`` keys still differ but for one in 16,000."""
+    return max(0, 64 - (int(total).bit_length() + 14))
+
+
 def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
     """Ends of each segment's slice of ascending keys."""
     edges = (np.arange(1, segments, dtype=np.uint64) * np.uint64((1 << 64) // segments)).astype(np.uint64)
@@ -181,8 +187,8 @@ def word_rows(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(rows, "word long, chunk long, code int, c long, t long")
 
 
-def segment_rows(chunks: DataFrame, segments: int) -> DataFrame:
-    """A chunk's distinct bigrams and training counts, by segment."""
+def segment_rows(chunks: DataFrame, segments: int, shift: int) -> DataFrame:
+    """A chunk's distinct bigrams (without their last ``shift`` bits) and training counts, by segment."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,8 +198,7 @@ def segment_rows(chunks: DataFrame, segments: int) -> DataFrame:
                 out, start = [], 0
                 for s, end in enumerate(_segment(keys, segments).tolist()):
                     if end > start:
-                        # 48 bits of a key are kept: further errors are far rarer than the filter's own.
-                        short = keys[start:end] >> np.uint64(16)
+                        short = keys[start:end] >> np.uint64(shift)
                         out.append((s, c.chunk, end - start, _squeezed(np.diff(short, prepend=np.uint64(0))), _squeezed(np.minimum(times[start:end], 0xFFFFFFFF).astype("<u4"))))
                     start = end
                 yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "chunk", "n", "keys", "times"])
@@ -226,7 +231,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = common.staged(totals)
     distinct = known.where(F.col("first") & (F.col("c") > 0)).count()
     segments = max(LEAST_SEGMENTS, -(-sizes["all"] // SEGMENT_KEYS))
-    levels = segment_rows(chunks, segments).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary")
+    levels = segment_rows(chunks, segments, key_shift(sizes["all"])).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary")
     n_train = sizes["train"]
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     whole = chunks.select("chunk", F.lit(-1).alias("segment"), "ids", "lengths", "train", "codes", "words", *none("levels"))
