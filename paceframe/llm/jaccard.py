@@ -7,11 +7,13 @@ n-grams first, and two sets that are similar enough share one of their first few
 
 Similar documents are put into groups: members of equal min-hashes are compared
 with the first of them and joined where they link. The matrix stores, for each
-token, the groups whose union of leading tokens has it, with the sizes of their
-members. A document's leading tokens bound its overlap with a group: only groups
-that share one and whose sizes can reach the threshold are opened, and only their
-members with that token are compared, exactly. Already connected documents are
-not compared again, so a large group of near copies costs one comparison each.
+token, the groups whose union of leading tokens has it, with their members' sizes
+and the most tokens that a member has from there on. The first common token of
+two sets leaves them no more common tokens than either has from there on; this
+bounds a document's overlap with a group, and only groups that can reach the
+threshold are opened. Members that can reach it one by one are compared, exactly.
+Already connected documents are not compared again, so most of a large group of
+near copies costs one comparison each.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.llm import common
-from paceframe.llm.language_model import LEAST_SEGMENTS, SEGMENT_KEYS, Chunk, _mixed, _opened, _segment, _squeezed, text_chunks
+from paceframe.llm.language_model import LEAST_SEGMENTS, SEGMENT_KEYS, Chunk, _mixed, _opened, _segment, _squeezed, key_shift, text_chunks
 
 BANDS = 4
+SALTS = 8
+#: Tokens of a chunk: its sets are held by one Python worker.
+CHUNK_TOKENS = 1_000_000
 _NO_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _SETS_SQL = "id long, row long, n long, sig binary, tokens binary, lead binary, bands array<long>"
@@ -66,21 +71,21 @@ class ShingleSets:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.sigs = [xxhash.xxh3_128_digest(self.tokens[a:b].tobytes()) if b > a else None for a, b in zip(self.starts, self.starts[1:], strict=False)]
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """48 bits of the tokens, ascending, and in how many different sets of the chunk each is."""
+    def keys(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens without their last bits, ascending, and in how many different sets of the chunk each is."""
         seen: set = set()
         fresh = np.array([s is not None and not (s in seen or seen.add(s)) for s in self.sigs], np.bool_)
-        return np.unique(self.tokens[fresh[self.doc]] >> np.uint64(16), return_counts=True)
+        return np.unique(self.tokens[fresh[self.doc]] >> np.uint64(shift), return_counts=True)
 
 
-def _segment_rows(chunks: DataFrame, words: int, segments: int) -> DataFrame:
+def _segment_rows(chunks: DataFrame, words: int, segments: int, shift: int) -> DataFrame:
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 c = Chunk(r)
-                keys, counts = ShingleSets(c, words).keys()
+                keys, counts = ShingleSets(c, words).keys(shift)
                 out, start = [], 0
-                for s, end in enumerate(_segment(keys << np.uint64(16), segments).tolist()):
+                for s, end in enumerate(_segment(keys << np.uint64(shift), segments).tolist()):
                     if end > start:
                         out.append((s, c.chunk, _squeezed(np.diff(keys[start:end], prepend=np.uint64(0))), _squeezed(counts[start:end].astype("<u4"))))
                     start = end
@@ -105,9 +110,13 @@ def lead_length(n: np.ndarray | int, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def shingle_table(chunks: DataFrame, words: int, percent: int, segments: int) -> DataFrame:
-    """id, row, n and sig of every document; its tokens, leading tokens and min-hashes if it may have a partner."""
-    levels = _segment_rows(chunks, words, segments).groupBy("segment").applyInArrow(_frequencies, "chunk long, segment int, levels binary")
+def shingle_table(chunks: DataFrame, words: int, percent: int, segments: int, shift: int) -> DataFrame:
+    """id, row, n and sig of every document; its tokens, leading tokens and min-hashes if it may have a partner.
+
+    Frequencies are counted without the tokens' last ``shift`` bits, which can only
+    make a token look more frequent: no partner is lost, sets are compared whole.
+    """
+    levels = _segment_rows(chunks, words, segments, shift).groupBy("segment").applyInArrow(_frequencies, "chunk long, segment int, levels binary")
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     parts = ("ids", "lengths", "train", "codes", "words")
     whole = chunks.select("chunk", F.lit(-1).alias("segment"), *parts, *none("levels")).unionByName(levels.select("chunk", "segment", *none(*parts), "levels"))
@@ -118,8 +127,8 @@ def shingle_table(chunks: DataFrame, words: int, percent: int, segments: int) ->
         s = ShingleSets(c, words)
         level = np.zeros(len(s.tokens), np.uint8)
         if len(s.tokens):
-            keys, _ = s.keys()
-            level = np.concatenate([_opened(r["levels"], "u1") for r in rows[1:]])[np.searchsorted(keys, s.tokens >> np.uint64(16))]
+            keys, _ = s.keys(shift)
+            level = np.concatenate([_opened(r["levels"], "u1") for r in rows[1:]])[np.searchsorted(keys, s.tokens >> np.uint64(shift))]
         shared = np.bincount(s.doc, level > 0, len(s.sizes))
         maybe = (s.sizes > 0) & (100 * shared >= percent * s.sizes)
         out: dict[str, list] = {k: [] for k in ("tokens", "lead", "bands")}
@@ -188,38 +197,46 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     only has a null name. Repeated rows and equal texts link. Other columns are
     left out; an empty table gives no rows.
     """
-    chunks = common.staged(text_chunks(common.id_and_text(docs, id_col, text_col)))
+    chunks = common.staged(text_chunks(common.id_and_text(docs, id_col, text_col), CHUNK_TOKENS))
     total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    table = common.staged(shingle_table(chunks, words, percent, max(LEAST_SEGMENTS, -(-total // SEGMENT_KEYS))))
+    table = common.staged(shingle_table(chunks, words, percent, max(LEAST_SEGMENTS, -(-total // SEGMENT_KEYS)), key_shift(total)))
     # One node for each different set that may have partners.
     sets = common.staged(table.where("tokens IS NOT NULL").groupBy("sig").agg(F.min(F.struct("row", "n", "tokens", "lead", "bands")).alias("r")).select(F.col("r.row").alias("node"), "sig", "r.n", "r.tokens", "r.lead", "r.bands"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
-    # Groups: each member of a min-hash is compared with the first.
-    keyed = sets.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    first = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("members")).where("members > 1").select("band", "key", F.col("f.node").alias("b"), F.col("f.n").alias("n_b"))
-    stars = keyed.join(first, ["band", "key"]).where((F.col("node") != F.col("b")) & fits(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
+    # Groups: each member of a min-hash is compared with the first. A large group's members are dealt to SALTS tasks.
+    keyed = sets.select("node", "n", F.posexplode("bands").alias("band", "key")).withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
+    first = keyed.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("members")).where("members > 1")
+    first = first.select("band", "key", F.col("f.node").alias("b"), F.col("f.n").alias("n_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    stars = keyed.join(first, ["band", "key", "salt"]).where((F.col("node") != F.col("b")) & fits(F.col("n"), F.col("n_b"))).select(F.col("node").alias("a"), "b").distinct()
     near = common.staged(linked(stars, sets, percent))
     grouped = components(near)
 
-    # The matrix: token, group, least and largest member.
+    # The matrix: token, group, least and largest member, and the most tokens from here on.
     def leads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("lead")]
             times = [len(t) for t in token]
-            repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times))  # noqa: B023, E731
-            yield pa.record_batch([pa.array(np.concatenate(token) if token else np.zeros(0, np.int64)), repeat("node"), repeat("n"), repeat("grp")], names=["token", "node", "n", "grp"])
+            of = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "n", "grp")}
+            place = np.concatenate([np.arange(k) for k in times]) if times else np.zeros(0, np.int64)
+            columns = [np.concatenate(token) if token else np.zeros(0, np.int64), of["node"], of["n"], of["grp"], of["n"] - place]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "n", "grp", "rest"])
 
     members = sets.join(grouped, "node", "left").select("node", "n", "lead", F.coalesce("root", "node").alias("grp"))
-    rows = members.mapInArrow(leads, "token long, node long, n long, grp long")
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
+    # What is left behind a token must suffice for the smallest possible partner.
+    rows = members.mapInArrow(leads, "token long, node long, n long, grp long, rest long").where((100 + percent) * F.col("rest") >= F.lit(percent) * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
+    group_rows = lambda r: r.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("reach"))
+    shared = group_rows(rows).groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
     rows = common.staged(rows.join(shared, "token", "left_semi"))
-    matrix = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    # Qualifying groups: later ones that share the token and have sizes in reach.
-    opened = rows.alias("q").join(matrix.alias("g"), "token").where((F.col("q.grp") < F.col("g.grp")) & (100 * F.col("g.most") >= percent * F.col("q.n")) & (100 * F.col("q.n") >= percent * F.col("g.least")))
-    opened = opened.select("token", F.col("q.node").alias("a"), F.col("q.n").alias("n_a"), F.col("g.grp").alias("grp"))
-    pairs = opened.join(rows.select("token", "grp", F.col("node").alias("b"), F.col("n").alias("n_b")), ["token", "grp"]).where(fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+    enough = lambda rest, a, b: (100 + percent) * rest >= percent * (a + b)
+    # Qualifying groups: later ones that share the token, have sizes in reach and enough tokens from there on.
+    opened = rows.alias("q").join(group_rows(rows).alias("g"), "token").where(
+        (F.col("q.grp") < F.col("g.grp")) & (100 * F.col("g.most") >= percent * F.col("q.n")) & (100 * F.col("q.n") >= percent * F.col("g.least"))
+        & enough(F.least("q.rest", "g.reach"), F.col("q.n"), F.greatest(F.col("g.least"), F.ceil(F.col("q.n") * percent / 100)))
+    )
+    opened = opened.select("token", F.col("q.node").alias("a"), F.col("q.n").alias("n_a"), F.col("q.rest").alias("rest_a"), F.col("g.grp").alias("grp"))
+    inside = rows.select("token", "grp", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    pairs = opened.join(inside, ["token", "grp"]).where(fits(F.col("n_a"), F.col("n_b")) & enough(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
     far = linked(pairs, sets, percent)
     roots = components(near.union(far))
 
