@@ -54,7 +54,7 @@ class LineRuns:
         return runs.groupBy("key").agg(F.sum("n").alias("n"))
 
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch: ``lines`` has a row with ``key`` for each document and distinct line of it."""
+        """Adds a batch: ``lines`` has a row with ``key`` for each document and distinct line of it, all rows of a document in one batch."""
         self._write(lines.groupBy("key").agg(F.count("*").alias("n")), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -90,22 +90,25 @@ def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of every row, its text without common lines, and n_lines, n_dropped and n_kept_lines.
 
-    A null or empty text is one empty line and becomes empty; a null id counts as
-    one document per text; a row that repeats another in id and text is judged
-    alike and counted once; other columns pass through, whatever their names (a
-    column called as a new one is replaced). An empty table gives no rows.
+    A null or empty text is one empty line and becomes empty; the rows of an id count
+    as one document, and a null id as one document per text; a row that repeats
+    another in id and text is judged alike and counted once; other columns pass
+    through, whatever their names (a column called as a new one is replaced). An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped", "n_kept_lines")]
     base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(names)])
     base = base.withColumn("t", F.xxhash64("text"))
     folder = common.shared_folder(spark)
-    numbered = base.select("id", "text", "t", F.pmod(F.xxhash64("id", "t"), F.lit(batches)).cast("int").alias("batch"))
+    # A document is an id, or a text without one; all rows of it are in one batch.
+    document = [F.col("id"), F.when(F.col("id").isNull(), F.col("t")).alias("t")]
+    numbered = base.select("id", "text", "t", F.pmod(F.xxhash64(*document), F.lit(batches)).cast("int").alias("batch"))
     line_table(numbered, min_chars).write.partitionBy("batch").parquet(f"{folder}/lines")
     lines = spark.read.schema("id long, t long, key binary, batch int").parquet(f"{folder}/lines")
     runs = LineRuns(spark, f"{folder}/runs")
     for k in range(batches):
-        batch = lines.where(F.col("batch") == k).select("key")
+        batch = lines.where(F.col("batch") == k).select("key", *document).distinct()
         runs.add(batch)
     # A very common line has rows from a large share of the documents: they are dealt to SALTS tasks.
     keys = runs.common_keys(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -156,6 +156,18 @@ def test_line_dedup(spark, batches, min_chars):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    shared = lambda k, x: f"{x} line\n{prose(k, 5)}"
+    rows = [(k, shared(k, "five"), "en", "a", 1) for k in range(5)] * 2  # five documents, each twice
+    rows += [(20 + k, shared(60 + n, "same id"), "en", "a", 1) for n, k in enumerate([*range(5)] * 2)]  # two texts for each id
+    rows += [(None, shared(80 + k, "no id"), "en", "a", 1) for k in range(5)] * 2
+    rows += [(40 + k, shared(40 + k, "ten"), "en", "a", 1) for k in range(10)]
+    got = line_dedup.dedup_lines(table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r.n_dropped for r in got if r.doc_id is None or r.doc_id < 40} == {0}
+    assert {r.n_dropped for r in got if r.doc_id is not None and r.doc_id >= 40} == {1}
+
+
 def test_runs_are_compacted_and_anti_joined(spark):
     runs = line_dedup.LineRuns(spark, common.shared_folder(spark), fanout=2)
     batch = lambda ks: spark.createDataFrame([(k.encode(),) for k in ks], "key binary")
