@@ -10,7 +10,8 @@ frequent word costs one row per chunk.
 
 A token's probability is Witten-Bell smoothed: the bigram count backed by the
 add-one unigram share, with the history's number of different successors as the
-weight.
+weight. A segment sees all chunks that have a bigram and marks one of them, so
+the marked bigrams of all chunks, summed by history, are the corpus's successors.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BITS_PER_ENTRY, PROBES = 10, 7
 _CHUNK_SQL = "chunk long, ids binary, lengths binary, train binary, codes binary, words binary, n_tokens long, n_train long"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
+#: A bit beside the level: of all chunks with this trained bigram, this one counts it as a successor.
+COUNTED = 0x80
 #: Stands for the end of a document; no word can be a line end.
 END = b"\n"
 
@@ -172,19 +175,27 @@ def _segment(keys: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(keys, edges), [len(keys)]])
 
 
-def word_rows(chunks: DataFrame) -> DataFrame:
-    """For each chunk and distinct word: its training count and how many different words follow it there in training."""
+def word_parts(chunks: DataFrame) -> DataFrame:
+    """A chunk's distinct words, their training counts, and the history of each of its distinct bigrams."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 c = Chunk(r)
-                _, _, times, before = c.bigrams()
-                count = np.bincount(c.codes, c.in_train, len(c.words)).astype(np.int64)
-                after = np.bincount(before, times > 0, len(c.words)).astype(np.int64)
-                yield pa.record_batch([pa.array(c.words.view(np.int64)), pa.array(np.full(len(c.words), c.chunk)), pa.array(np.arange(len(c.words), dtype=np.int32)), pa.array(count), pa.array(after)], names=["word", "chunk", "code", "c", "t"])
+                _, _, _, before = c.bigrams()
+                count = np.bincount(c.codes, c.in_train, len(c.words)).astype("<u4")
+                yield pa.record_batch([pa.array([c.chunk]), *(pa.array([x], pa.binary()) for x in (r["words"], _squeezed(count), _squeezed(before.astype("<u4"))))], names=["chunk", "words", "counts", "before"])
 
-    return chunks.mapInArrow(rows, "word long, chunk long, code int, c long, t long")
+    return chunks.mapInArrow(rows, "chunk long, words binary, counts binary, before binary")
+
+
+def word_rows(left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each distinct word of a chunk: its training count there, and how many bigrams that are counted there begin with it."""
+    r = left.to_pylist()[0]
+    words, before = np.frombuffer(r["words"], "<i8"), _opened(r["before"], "<u4")
+    levels = np.concatenate([_opened(x["levels"], "u1") for x in sorted(right.to_pylist(), key=lambda x: x["segment"])])
+    after = np.bincount(before[(levels & COUNTED) > 0], minlength=len(words)).astype(np.int64)
+    return pa.table({"word": pa.array(words), "chunk": pa.array(np.full(len(words), r["chunk"])), "code": pa.array(np.arange(len(words), dtype=np.int32)), "c": pa.array(_opened(r["counts"], "<u4").astype(np.int64)), "t": pa.array(after)})
 
 
 def segment_rows(chunks: DataFrame, segments: int, shift: int) -> DataFrame:
@@ -207,13 +218,21 @@ def segment_rows(chunks: DataFrame, segments: int, shift: int) -> DataFrame:
 
 
 def probe(table: pa.Table) -> pa.Table:
-    """A segment: its filter is filled from all chunks' training counts, then probed for each chunk's bigrams."""
+    """A segment: its filter is filled from all chunks' training counts, then probed for each chunk's bigrams.
+
+    All occurrences of a bigram are in one segment, so each trained one is marked in one chunk.
+    """
     keys = [np.cumsum(_opened(k.as_py(), "<u8"), dtype=np.uint64) for k in table.column("keys")]
     times = [_opened(k.as_py(), "<u4").astype(np.int64) for k in table.column("times")]
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     counts = np.bincount(inverse, np.concatenate(times), len(distinct)).astype(np.int64)
     made = LogFrequencyFilter(distinct[counts > 0], counts[counts > 0])
-    return pa.table({"chunk": table.column("chunk"), "segment": table.column("segment"), "levels": pa.array([_squeezed(made.levels(k)) for k in keys], pa.binary())})
+    place = np.zeros(len(distinct), np.int64)
+    place[inverse] = np.arange(len(inverse))
+    counted = np.zeros(len(inverse), np.uint8)
+    counted[place[counts > 0]] = COUNTED
+    marks = np.split(counted, np.cumsum([len(k) for k in keys])[:-1])
+    return pa.table({"chunk": table.column("chunk"), "segment": table.column("segment"), "levels": pa.array([_squeezed(made.levels(k) | m) for k, m in zip(keys, marks, strict=True)], pa.binary())})
 
 
 def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,12 +245,14 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     chunks = common.staged(text_chunks(common.id_and_text(docs, id_col, text_col)))
     sizes = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("train"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all")).first()
+    segments = max(LEAST_SEGMENTS, -(-sizes["all"] // SEGMENT_KEYS))
+    levels = common.staged(segment_rows(chunks, segments, key_shift(sizes["all"])).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary"))
+    by_chunk = word_parts(chunks).groupBy("chunk").cogroup(levels.groupBy("chunk"))
+    words = by_chunk.applyInArrow(word_rows, "word long, chunk long, code int, c long, t long")
     by_word = Window.partitionBy("word")
-    totals = word_rows(chunks).select("chunk", "code", F.sum("c").over(by_word).alias("c"), F.sum("t").over(by_word).alias("t"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
+    totals = words.select("chunk", "code", F.sum("c").over(by_word).alias("c"), F.sum("t").over(by_word).alias("t"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
     known = common.staged(totals)
     distinct = known.where(F.col("first") & (F.col("c") > 0)).count()
-    segments = max(LEAST_SEGMENTS, -(-sizes["all"] // SEGMENT_KEYS))
-    levels = segment_rows(chunks, segments, key_shift(sizes["all"])).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary")
     n_train = sizes["train"]
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     whole = chunks.select("chunk", F.lit(-1).alias("segment"), "ids", "lengths", "train", "codes", "words", *none("levels"))
@@ -241,7 +262,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = sorted(left.to_pylist(), key=lambda r: r["segment"])
         c = Chunk(rows[0])
         _, inverse, _, _ = c.bigrams()
-        found = np.concatenate([_opened(r["levels"], "u1") for r in rows[1:]])
+        found = np.concatenate([_opened(r["levels"], "u1") for r in rows[1:]]) & ~np.uint8(COUNTED)
         code = right.column("code").to_numpy()
         count, after = np.zeros(len(c.words)), np.zeros(len(c.words))
         count[code], after[code] = right.column("c").to_numpy(), right.column("t").to_numpy()

@@ -106,6 +106,12 @@ def test_language_model_is_the_formula(spark):
     assert language_model.language_scores(table(spark, [])).count() == 0
 
 
+def test_language_model_does_not_depend_on_chunks(spark):
+    rows = awkward() + [(100 + k, prose(k % 9, 50), "en", "a", 1) for k in range(40)]
+    scores = lambda parts: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in language_model.language_scores(table(spark, rows).repartition(parts)).collect())
+    assert scores(1) == scores(7)
+
+
 # -- toxicity ---------------------------------------------------------------
 
 
