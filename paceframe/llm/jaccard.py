@@ -251,12 +251,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, of each component's smallest id; of rows that share id and text one stays.
 
-    Rows without an id stay unless they are linked to one with an id.
+    A row is its id and text, so an id on two texts stands for each of them alone.
+    Null ids rank last: rows without one stay unless they are linked to one with an
+    id, and of a component without any id the row of the least text hash stays.
     """
-    found = jaccard_components(docs, words, percent, id_col, text_col)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    # The join's partitioning by id serves the removal of repeated rows as well.
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([id_col, text_col])
+    row = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    hashed = docs.withColumn("_row_hash", row)
+    found = jaccard_components(hashed, words, percent, "_row_hash", text_col).select(F.col("doc_id").alias("_row_hash"), "component_id").distinct()
+    ids = hashed.select("_row_hash", F.col(id_col).cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "_row_hash")
+    kept = found.join(ids, "_row_hash").groupBy("component_id").agg(F.min(order).alias("r")).select(F.col("r._row_hash").alias("_row_hash"))
+    # The join's partitioning by hash serves the removal of repeated rows as well.
+    return hashed.join(kept, "_row_hash", "left_semi").dropDuplicates(["_row_hash", id_col, text_col]).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

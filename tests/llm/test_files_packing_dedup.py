@@ -252,6 +252,18 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.keep_one(table(spark, [])).count() == 0
 
 
+def test_one_row_stays_without_ids_and_with_an_id_on_two_texts(spark):
+    near = lambda seed: [(t := prose(seed, 100)), t + " end", "begin " + t]
+    rows = [(None, t, "en", "a", 1) for t in near(91)[:2]] + [(None, t, "de", "b", 1) for t in near(92)[:2]]
+    rows += [(i, t, "en", "a", 1) for i, t in zip((None, 7, None), near(93), strict=True)]
+    rows += [(8, near(94)[0], "en", "a", 1), (5, near(94)[1], "en", "a", 1), (8, near(95)[0], "en", "a", 1), (None, "", "en", "a", 0), (None, " ", "en", "a", 1)]
+    kept = jaccard.keep_one(table(spark, rows)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept) == [-1, -1, -1, -1, 5, 7, 8]
+    texts = {r.text for r in kept}
+    assert near(95)[0] in texts and near(94)[0] not in texts and {"", " "} < texts
+    assert len(texts & {*near(91)}) == len(texts & {*near(92)}) == 1
+
+
 # -- decontamination --------------------------------------------------------
 
 
