@@ -2,8 +2,13 @@
 
 A run is a stored table of (line hash, number of documents), hash-partitioned and
 sorted. Each batch of documents adds a run on level 0; ``FANOUT`` runs of a level
-are merged into one on the next, so a key is rewritten once per level. A batch is
-freed of known lines by a sort-merge join of its lines with the runs' keys.
+are merged into one on the next, so a key is rewritten once per level.
+
+``LineRuns.new_lines`` frees a batch of lines that the runs know, by a sort-merge
+anti-join. ``dedup_lines`` does not use it: all batches are at hand, every line's
+documents must be counted over all of them before any is cut, and one semi-join at
+the end finds the common lines of early and late batches alike. The anti-join would
+sum the runs again for each batch and change no row of the result.
 """
 
 from __future__ import annotations
