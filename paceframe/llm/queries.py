@@ -11,8 +11,9 @@ from paceframe.llm.packing import op7_best_fit_packing
 from paceframe.llm.periodic_runs import op13_periodic_runs
 from paceframe.llm.quality_classifier import op4_quality_classifier
 from paceframe.llm.quality_rules import OP5_SQL, op5_quality_rules
+from paceframe.llm.simhash import op12_simhash
 from paceframe.llm.token_files import op6_token_files
 from paceframe.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_model, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_best_fit_packing, op8_line_dedup, op9_jaccard_join, op10_decontamination, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_language_model, op3_toxicity, op4_quality_classifier, op5_quality_rules, op6_token_files, op7_best_fit_packing, op8_line_dedup, op9_jaccard_join, op10_decontamination, op12_simhash, op13_periodic_runs)}
 SQL: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}
