@@ -81,7 +81,7 @@ NOTICES = (
     ("mit", ("hereby", "granted"), r"permission is hereby granted free of charge to any person obtaining a copy", 75),
     ("isc", ("hereby", "granted"), r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted", 75),
     ("bsd", ("redistribution",), r"redistribution and use in source and binary forms with or without modification are permitted", 70),
-    ("bsd-3", ("contributors",), r"neither the names? of (?:\S+ ){1,12}nor the names of (?:its|their) contributors may be used to endorse or promote", 75),
+    ("bsd-3", ("contributors",), r"neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|their) contributors may be used to endorse or promote", 75),
     ("bsd-4", ("advertising",), r"all advertising materials mentioning features or use of this software must display", 75),
     ("apache-2", ("apache",), r"you may not use this file except in compliance with the license", 70),
     ("unlicense", ("unencumbered",), r"this is free and unencumbered software released into the public domain", 75),
@@ -97,7 +97,7 @@ NOTICES = (
     ("no-warranty", ("warranty",), r"without any warranty", 20),
     ("no-warranty", ("warranties",), r"the software is provided as is without warrant(?:y|ies) of any kind", 20),
     ("copyright-notice", ("copyright",), r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 10),
-    ("licence-mention", ("licen",), r"under (?:the|this|a) (?:\S+ ){0,3}licen[sc]e", 5),
+    ("licence-mention", ("licen",), r"under (?:the|this|a) (?:[^ ]+ ){0,3}licen[sc]e", 5),
 )
 
 _GRANT = r"(?:dual )?(?:licen[sc]ed|released|distributed|published|redistributed|provided|(?:made )?available|covered|shared|offered) (?:only )?(?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the |an? )?"
@@ -115,7 +115,7 @@ class Rule:
 
 
 def _rule(form: str, label: str, priority: int, keywords: tuple[str, ...], pattern: str, weight: float, base: bool = False) -> Rule:
-    return Rule(f"{form}:{label}", label, priority, keywords, re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), weight, base)
+    return Rule(f"{form}:{label}", label, priority, keywords, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])"), weight, base)
 
 
 def _cited(label: str, keywords: tuple[str, ...], name: str, spdx: str, titled: bool = True) -> list[Rule]:

@@ -51,6 +51,14 @@ def test_prefilter_loses_no_detection():
     assert labels[0] == {"apache-2"} and labels[1] == {"mit"} and "gpl-3-or-later" in labels[3] and labels[4] == {"gpl-2-or-later"} and labels[6] == set()
 
 
+def test_words_hold_blanks_that_are_not_ascii():
+    scanner = licenses.Scanner(license_rules.build_rules())
+    for blank in "\u00a0\u2003\u3000\u0085":
+        assert scanner.scan(f"the mit license{blank}foo") == (3, []) == scanner.scan(f"x{blank}the mit license{blank}y")
+        n, found = scanner.scan(f"foo{blank}bar the mit license x{blank}y")
+        assert n == 5 and [(d[1], d[5], d[6]) for d in found if d[4]] == [("mit", 1, 3)]
+
+
 def test_license_query_on_awkward_rows(spark, tmp_path):
     rows = [*awkward(), (20, "The MIT license. the-mit-license! Apache License, Version 2", "en", "a", 1)]
     got = licenses.scan_licenses(with_clashes(table(spark, rows))).collect()
