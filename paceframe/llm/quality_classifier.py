@@ -28,8 +28,8 @@ FOLDS = 5
 THRESHOLD = 0.3
 
 MEASURES = (
-    "log_chars", "log_words", "word_length", "longest_word", "symbol_share", "pipe_share", "exclaim_share", "stop_share", "upper_share", "digit_share",
-    "distinct_share", "neighbour_share", "top_share", "line_words", "dup_line_share", "non_ascii_share",
+    "log_chars", "log_words", "word_length", "longest_word", "symbol_share", "pipe_share", "exclaim_share", "sfirst_word_share", "upper_share", "digit_share",
+    "distinct_share", "neighbour_share", "first_word_share", "line_words", "dup_line_share", "non_ascii_share",
 )
 _SYMBOLS = np.frombuffer(b"#*$%&<>@^~_=+\\/{}[]", np.uint8)
 _LINE = re.compile(r"[^\x20\x09-\x0D]")

@@ -25,8 +25,8 @@ from paceframe.llm import common
 
 #: Labelled training documents (distinct texts) that are used at most.
 TRAIN_ROWS = 60_000
-#: Words learned from the labels at most, and what they must show.
-LEARNED_WORDS, LEAST_DOCS, LEAST_LOG_ODDS = 4_000, 4, 2.0
+#: What words learned from the labels must show. They are words of LEAST_DOCS training documents each, so TRAIN_ROWS bounds them.
+LEAST_DOCS, LEAST_LOG_ODDS = 4, 2.0
 FOLDS = 5
 
 # The seed lexicon, by class.
@@ -185,8 +185,7 @@ def learned_lexicon(chosen: DataFrame) -> dict[str, float]:
     counts = chosen.select("label", "text").mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
     odds = F.log((F.col("a") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("n") - F.col("a") + 0.5) / F.lit(clean + 1.0))
     kept = counts.where(F.col("a") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-    top = kept.orderBy(F.desc(F.col("odds") * F.log1p(F.col("a"))), "word").limit(LEARNED_WORDS)
-    return {r["word"]: r["odds"] / 5.0 for r in top.collect()}
+    return {r["word"]: r["odds"] / 5.0 for r in kept.collect()}
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
