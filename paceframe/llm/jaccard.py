@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.llm import common
-from paceframe.llm.language_model import LEAST_SEGMENTS, SEGMENT_KEYS, Chunk, _mixed, _opened, _segment, _squeezed, key_shift, text_chunks
+from paceframe.llm.language_model import LEAST_SEGMENTS, PLACE_BITS, SEGMENT_KEYS, Chunk, _mixed, _opened, _segment, _squeezed, key_shift, text_chunks
 
 BANDS = 4
 SALTS = 8
@@ -105,6 +105,11 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "segment": table.column("segment"), "levels": pa.array([_squeezed(x) for x in np.split(level, edges)], pa.binary())})
 
 
+def row_numbers(chunk: int, n: int) -> np.ndarray:
+    """A number for each of the n documents of a chunk, different from those of all other chunks."""
+    return (chunk << PLACE_BITS) + np.arange(n, dtype=np.int64)
+
+
 def lead_length(n: np.ndarray | int, percent: int):
     """Tokens of a set of n of which a partner must have one."""
     return n - -(-n * percent // 100) + 1
@@ -145,7 +150,7 @@ def shingle_table(chunks: DataFrame, words: int, percent: int, segments: int, sh
             out["bands"].append([int(_mixed(t ^ seed).min().view(np.int64)) for seed in seeds])
         n_docs = len(s.sizes)
         return pa.table({
-            "id": pa.array([None if i == _NO_ID else i for i in c.ids.tolist()], pa.int64()), "row": pa.array((c.chunk << 21) + np.arange(n_docs)), "n": pa.array(s.sizes.astype(np.int64)), "sig": pa.array(s.sigs, pa.binary()),
+            "id": pa.array([None if i == _NO_ID else i for i in c.ids.tolist()], pa.int64()), "row": pa.array(row_numbers(c.chunk, n_docs)), "n": pa.array(s.sizes.astype(np.int64)), "sig": pa.array(s.sigs, pa.binary()),
             "tokens": pa.array(out["tokens"], pa.binary()), "lead": pa.array(out["lead"], pa.binary()), "bands": pa.array(out["bands"], pa.list_(pa.int64())),
         })
 
@@ -255,14 +260,16 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     Null ids rank last: rows without one stay unless they are linked to one with an
     id, and of a component without any id the row of the least text hash stays.
     """
-    row = F.xxhash64(docs[id_col].cast("long"), F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    hashed = docs.withColumn("_row_hash", row)
-    found = jaccard_components(hashed, words, percent, "_row_hash", text_col).select(F.col("doc_id").alias("_row_hash"), "component_id").distinct()
-    ids = hashed.select("_row_hash", F.col(id_col).cast("long").alias("id")).distinct()
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "_row_hash")
-    kept = found.join(ids, "_row_hash").groupBy("component_id").agg(F.min(order).alias("r")).select(F.col("r._row_hash").alias("_row_hash"))
+    # Columns get names of their own, so a caller's column may be called anything.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    hashed = docs.select(F.xxhash64(docs[id_col].cast("long"), text).alias("h"), docs[id_col].cast("long").alias("i"), text.alias("t"), *[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    found = jaccard_components(hashed, words, percent, "h", "t").select(F.col("doc_id").alias("h"), "component_id").distinct()
+    order = F.struct(F.col("i").isNull().alias("none"), "i", "h")
+    kept = found.join(hashed.select("h", "i").distinct(), "h").groupBy("component_id").agg(F.min(order).alias("r")).select(F.col("r.h").alias("h"))
     # The join's partitioning by hash serves the removal of repeated rows as well.
-    return hashed.join(kept, "_row_hash", "left_semi").dropDuplicates(["_row_hash", id_col, text_col]).select(*docs.columns)
+    one = hashed.join(kept, "h", "left_semi").dropDuplicates(["h", "i", "t"])
+    return one.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

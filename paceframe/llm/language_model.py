@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceframe.llm import common
@@ -34,6 +34,8 @@ CHUNK_TOKENS = 1_200_000
 #: Distinct bigrams of all chunks that a segment holds, about; and the least number of segments.
 SEGMENT_KEYS, LEAST_SEGMENTS = 1_000_000, 64
 BITS_PER_ENTRY, PROBES = 10, 7
+#: Bits of a chunk's number within its partition; 21 more name a document in it, which leaves 24 for partitions.
+CHUNK_BITS, PLACE_BITS = 18, 21
 _CHUNK_SQL = "chunk long, ids binary, lengths binary, train binary, codes binary, words binary, n_tokens long, n_train long"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = -(1 << 63)
@@ -115,7 +117,9 @@ def text_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             train = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS != HELD_OUT for i in ids], np.bool_)
             n = np.array(lengths, "<u4")
             hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-            values = [(part << 24) + number, np.array([_NO_ID if i is None else i for i in ids], "<i8").tobytes(), n.tobytes(), train.tobytes(), _squeezed(np.concatenate(codes)), hashes.tobytes(), int(n.sum()), int(n[train].sum())]
+            if number >> CHUNK_BITS:
+                raise ValueError("too many chunks in one partition; give the table more partitions")
+            values = [(part << CHUNK_BITS) + number, np.array([_NO_ID if i is None else i for i in ids], "<i8").tobytes(), n.tobytes(), train.tobytes(), _squeezed(np.concatenate(codes)), hashes.tobytes(), int(n.sum()), int(n[train].sum())]
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()], strict=True)], names=_CHUNK_SQL.replace(",", "").split()[::2])
 
         def fresh() -> tuple[list, list, list, defaultdict]:
@@ -249,10 +253,11 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = common.staged(segment_rows(chunks, segments, key_shift(sizes["all"])).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary"))
     by_chunk = word_parts(chunks).groupBy("chunk").cogroup(levels.groupBy("chunk"))
     words = by_chunk.applyInArrow(word_rows, "word long, chunk long, code int, c long, t long")
-    by_word = Window.partitionBy("word")
-    totals = words.select("chunk", "code", F.sum("c").over(by_word).alias("c"), F.sum("t").over(by_word).alias("t"), (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("first"))
-    known = common.staged(totals)
-    distinct = known.where(F.col("first") & (F.col("c") > 0)).count()
+    words = common.staged(words)
+    # A frequent word has a row in each chunk: they are summed map-side, and in the join large partitions can be split.
+    totals = common.staged(words.groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
+    distinct = totals.where("c > 0").count()
+    known = words.select("word", "chunk", "code").join(totals, "word")
     n_train = sizes["train"]
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     whole = chunks.select("chunk", F.lit(-1).alias("segment"), "ids", "lengths", "train", "codes", "words", *none("levels"))
