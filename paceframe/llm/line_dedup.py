@@ -1,14 +1,15 @@
 """Removes lines that many documents share, with levelled sorted runs of line hashes.
 
-A run is a stored table of (line hash, number of documents), hash-partitioned and
-sorted. Each batch of documents adds a run on level 0; ``FANOUT`` runs of a level
-are merged into one on the next, so a key is rewritten once per level.
-
-``LineRuns.new_lines`` frees a batch of lines that the runs know, by a sort-merge
-anti-join. ``dedup_lines`` does not use it: all batches are at hand, every line's
-documents must be counted over all of them before any is cut, and one semi-join at
-the end finds the common lines of early and late batches alike. The anti-join would
-sum the runs again for each batch and change no row of the result.
+Documents come in batches. A run is a stored table of (line hash, number of
+documents), hash-partitioned and sorted. Each batch is merge-anti-joined with the
+keys that have reached the limit in the runs so far: their lines are known to go
+and need no further counting. The rest is counted and added as a run of level 0;
+``FANOUT`` runs of a level are merged into one on the next, so a key is rewritten
+once per level, and keys that have reached the limit move to a run of their own,
+so later batches merge with that run and not with all counts.
+
+Which lines are common is only known after the last batch; then one semi-join
+finds them in early and late batches alike.
 """
 
 from __future__ import annotations
@@ -39,42 +40,49 @@ def line_keys(text: str, min_chars: int) -> list[bytes]:
 
 
 class LineRuns:
-    """The runs of a folder; ``levels[k]`` names the runs of level k."""
+    """The runs of a folder; ``levels[k]`` names the runs of level k, ``full`` those of keys that have reached the limit."""
 
-    def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
-        self.spark, self.folder, self.fanout = spark, folder, fanout
+    def __init__(self, spark: SparkSession, folder: str, min_docs: int, fanout: int = FANOUT):
+        self.spark, self.folder, self.min_docs, self.fanout = spark, folder, min_docs, fanout
         self.levels: list[list[str]] = [[]]
+        self.full: list[str] = []
         self.written = 0
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.folder}/level-{level}/run-{self.written}"
+    def _write(self, counts: DataFrame, name: str) -> str:
+        path = f"{self.folder}/{name}/run-{self.written}"
         self.written += 1
         counts.sortWithinPartitions("key").write.parquet(path)  # the sums are already dealt out by key
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        return path
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema("key binary, n long").parquet(*paths) if paths else self.spark.createDataFrame([], "key binary, n long")
 
     def _sums(self, paths: list[str]) -> DataFrame:
-        runs = self.spark.read.schema("key binary, n long").parquet(*paths)
-        return runs.groupBy("key").agg(F.sum("n").alias("n"))
+        return self._read(paths).groupBy("key").agg(F.sum("n").alias("n"))
+
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """The lines of a batch whose key has not reached the limit: a merge anti-join."""
+        return lines.join(self._read(self.full).select("key").hint("merge"), "key", "left_anti") if self.full else lines
 
     def add(self, lines: DataFrame) -> None:
         """Adds a batch: ``lines`` has a row with ``key`` for each document and distinct line of it, all rows of a document in one batch."""
-        self._write(lines.groupBy("key").agg(F.count("*").alias("n")), 0)
+        counts = self.new_lines(lines).groupBy("key").agg(F.count("*").alias("n"))
+        self.levels[0].append(self._write(counts, "level-0"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            self._write(self._sums(self.levels[level]), level + 1)
+            if len(self.levels) == level + 1:
+                self.levels.append([])
+            merged = self._sums(self.levels[level])
+            self.levels[level + 1].append(self._write(merged, f"level-{level + 1}"))
             self.levels[level] = []
             level += 1
+        # What reaches the limit over all runs is not sent again by later batches.
+        over = self._sums([p for some in self.levels for p in some]).where(F.col("n") >= self.min_docs)
+        self.full.append(self._write(self.new_lines(over), "full"))
 
-    def common_keys(self, min_docs: int) -> DataFrame:
+    def common_keys(self) -> DataFrame:
         """Keys that ``min_docs`` documents have, over all runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._sums(paths).where(F.col("n") >= min_docs).select("key")
-
-    def new_lines(self, lines: DataFrame, min_docs: int = 1) -> DataFrame:
-        """The lines of a batch whose key the runs do not have ``min_docs`` times: a merge anti-join."""
-        return lines.join(self.common_keys(min_docs).hint("merge"), "key", "left_anti")
+        return self._read(self.full).select("key")
 
 
 def line_table(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -111,12 +119,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     numbered = base.select("id", "text", "t", F.pmod(F.xxhash64(*document), F.lit(batches)).cast("int").alias("batch"))
     line_table(numbered, min_chars).write.partitionBy("batch").parquet(f"{folder}/lines")
     lines = spark.read.schema("id long, t long, key binary, batch int").parquet(f"{folder}/lines")
-    runs = LineRuns(spark, f"{folder}/runs")
+    runs = LineRuns(spark, f"{folder}/runs", min_docs)
     for k in range(batches):
         batch = lines.where(F.col("batch") == k).select("key", *document).distinct()
         runs.add(batch)
     # A very common line has rows from a large share of the documents: they are dealt to SALTS tasks.
-    keys = runs.common_keys(min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keys = runs.common_keys().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "t"), F.lit(SALTS)).cast("int"))
     hits = salted.join(keys.hint("merge"), ["key", "salt"], "left_semi").select("id", "t", "key")
     drops = hits.groupBy("id", "t").agg(F.collect_set("key").alias("drop")).select(F.col("id").alias("drop_id"), F.col("t").alias("drop_t"), "drop")
