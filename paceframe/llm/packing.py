@@ -85,24 +85,39 @@ def _places(plan: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 44) + table[:, 1], "first": table[:, 1], "each": table[:, 2], "bin": table[:, 3], "offset": table[:, 4]}
 
 
+def _order_among_equals(x: np.ndarray) -> np.ndarray:
+    """For each number, how many of the same stand before it."""
+    order = np.argsort(x, kind="stable")
+    sorted_ = x[order]
+    first = np.searchsorted(sorted_, sorted_)
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - first
+    return out
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every whole text; the first of a long document takes the remainder."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part = tokens.encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u2").tobytes()
         ranks = np.zeros(capacity + 1, dtype=np.int64)
         for doc_ids, texts in common.steps(batches, tokens.STEP_CHARS):
-            rows = []
-            for doc, data in zip(doc_ids, made.encode(texts), strict=True):
-                ids = np.frombuffer(data + end, "<u2").astype("<u4")
-                edges = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    some = ids[a:b].tobytes()
-                    rows.append((part, doc, k, a, b - a, int(ranks[b - a]), zlib.crc32(some), some if keep_ids else None))
-                    ranks[b - a] += 1
-            if rows:
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _PIECES.types, strict=True)], schema=_PIECES)
+            flat, starts = made.encode(texts, end_id)
+            n = np.diff(starts)
+            pieces = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            # The first piece takes the remainder, all others are full.
+            first = n - (pieces - 1) * capacity
+            begin = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            rank = ranks[length] + _order_among_equals(length)
+            ranks += np.bincount(length, minlength=capacity + 1)
+            data = memoryview(flat.astype("<u4").tobytes())
+            edges = [(4 * a, 4 * b) for a, b in zip((starts[doc] + begin).tolist(), (starts[doc] + begin + length).tolist(), strict=True)]
+            columns = [np.full(len(doc), part, np.int64), pa.array(doc_ids, pa.int64()).take(pa.array(doc)), piece.astype(np.int32), begin, length, rank, np.array([zlib.crc32(data[a:b]) for a, b in edges], np.int64)]
+            ids = pa.array([bytes(data[a:b]) for a, b in edges], pa.binary()) if keep_ids else pa.nulls(len(doc), pa.binary())
+            yield pa.record_batch([*map(pa.array, columns), ids], schema=_PIECES)
 
     return common.id_and_text(docs, id_col, text_col).mapInArrow(cut, _PIECES_SQL)
 

@@ -94,13 +94,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokens.encoder(tokenizer, MEMO)
-        end = np.array([end_id], dtype="<u2").tobytes()
         doc_ids, ids, total = [], [], 0
         for some_ids, texts in common.steps(batches, tokens.STEP_CHARS):
-            for doc, data in zip(some_ids, made.encode(texts), strict=True):
+            flat, starts = made.encode(texts, end_id)
+            data, edges = memoryview(flat.tobytes()), (2 * starts).tolist()
+            for doc, a, b in zip(some_ids, edges, edges[1:], strict=False):
                 doc_ids.append(doc)
-                ids.append(data + end)
-                total += len(ids[-1]) // 2
+                ids.append(bytes(data[a:b]))
+                total += (b - a) // 2
                 if total >= shard_tokens:
                     yield pa.record_batch([pa.array([pack_file(doc_ids, ids)], pa.binary())], schema=_SHARDS)
                     doc_ids, ids, total = [], [], 0
