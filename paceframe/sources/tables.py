@@ -78,6 +78,13 @@ def stage_directory(spark: SparkSession, parent: str | None = None) -> str:
     return f"{base.rstrip('/')}/paceframe/{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, parent: str | None = None) -> DataFrame:
+    """The rows, written to shared storage once and read from there."""
+    path = stage_directory(df.sparkSession, parent)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def register_views(tables: dict[str, DataFrame]) -> None:
     """Name tables for Spark SQL."""
     for name, df in tables.items():
