@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,44 @@ def test_asymmetric_state_keeps_state_over_a_gap(spark):
     assert got == [35.0, None, pytest.approx(35.0 * 0.88), pytest.approx(35.0 * 0.88 * 0.97)]
 
 
+def test_maps_of_stretches_compose_to_the_fold():
+    r = random.Random(4)
+    for n in [*range(6), 40, 200]:
+        for _ in range(20):
+            rows = [(None if r.random() < 0.1 else r.choice([r.uniform(0, 100), r.uniform(0, 20), 0.0, 100.0, 130.0, -5.0]), r.choice([0.88, 0.91, 0.94, 0.97])) for _ in range(n)]
+            knots = state.composed(rows)
+            assert [x for x, _ in knots] == sorted(x for x, _ in knots) and [y for _, y in knots] == sorted(y for _, y in knots)
+            for entry in (0.0, 100.0, r.uniform(0, 100)):
+                want = ([entry] + [s for s in state.replayed(entry, rows) if s is not None])[-1]
+                i = max(1, min(sum(x <= entry for x, _ in knots), len(knots) - 1))
+                (x0, y0), (x1, y1) = knots[i - 1], knots[i]
+                assert y0 + (entry - x0) * (y1 - y0) / (x1 - x0) == pytest.approx(want, abs=1e-9)
+
+
+def test_states_over_blocks_are_those_of_the_fold(spark, monkeypatch):
+    monkeypatch.setattr(state, "BLOCK_DAYS", 8)
+    r = random.Random(5)
+    kinds = "frontier_strain_score double, running_7d_sum_m double, recovery_strain_score double, accumulated_bone_stress_state double"
+    rows, want = [], []
+    carried = 0.0
+    for i in range(150):
+        if r.random() < 0.2:
+            continue
+        value = None if r.random() < 0.15 else r.uniform(0, 100) if r.random() < 0.3 else r.uniform(0, 15)
+        km, recovery, load = r.uniform(0, 100), r.uniform(0, 70), r.uniform(0, 80)
+        rate = 0.97 if km >= 80 or recovery >= 55 or load >= 70 else 0.88 if km <= 35 and recovery <= 35 and load <= 45 else 0.91 if km <= 50 and recovery <= 45 and load <= 55 else 0.94
+        if value is not None:
+            carried = carried + 0.7 * (value - carried) if value > carried else max(value, carried * rate)
+        rows.append((i, value, km * 1000, recovery, load))
+        want.append(None if value is None else pytest.approx(carried, abs=1e-9))
+    one = series(spark, rows, kinds)
+    both = one.unionByName(one.withColumn("athlete_id", F.lit(2).cast("bigint")).limit(1))
+    out = state.asymmetric_state(both.withColumn("other", F.lit("x")))
+    assert by_day(out.filter("athlete_id = 1"), "accumulated_frontier_state") == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("other" not in line for line in plan.splitlines() if "MapInArrow" in line)
+
+
 def test_risk_period_gap_of_two_joins_and_three_splits(spark):
     def scored(gap):
         days = [0, 1, 2, 2 + gap, 3 + gap, 4 + gap]
