@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paceframe import fixed
 from paceframe.functions.numbers import col, settle
-from paceframe.keys import by_days, by_rows, history_order, with_day
+from paceframe.keys import ATHLETE, DAY, by_days, by_rows, history_order, with_day
+from paceframe.operators.order_statistics import SortedSeries, cut_sums, in_days
 
 
 # Sums are settled to six decimals; a partial sum is compared with this slack
@@ -53,62 +57,54 @@ def share_not_above(history: Column, value: Column) -> Column:
     return count_not_above(history, value) / F.size(history) * 100
 
 
-def percentile_risk(history: Column, value: Column, high: bool = True) -> Column:
-    """Zero without a value or with fewer than seven history values."""
-    share = share_not_above(history, value)
-    known = value.isNotNull() & (F.size(history) >= fixed.MIN_HISTORY)
-    return F.when(known, share if high else 100.0 - share).otherwise(0.0)
-
-
-def _history_name(rank: Rank) -> str:
-    return f"_h{rank.days}_{rank.column}"
-
-
 def _roll_name(roll: RollingRank) -> str:
     return f"_{'mean' if roll.mean else 'sum'}{roll.days}_{roll.column}"
 
 
-def _cut_windows(roll: RollingRank) -> Column:
-    """Fold the first windows of the slice: how many exist, how many are low.
+def _rank_scores(table: pa.Table, ranks: Sequence[Rank], rolling: Sequence[RollingRank], days: np.ndarray, place: dict[str, str]) -> dict[str, np.ndarray]:
+    """All risks of an athlete's rows, which are in order of ``days``; ``place`` names the input columns."""
+    series: dict[str, SortedSeries] = {}
 
-    Rolling values are taken inside the slice of ``baseline + days`` days, so
-    those of its first ``days - 1`` days see a cut window that starts at the
-    slice.  All later ones equal the plain rolling value.
-    """
-    base = _roll_name(roll)
-    current = F.col(f"{base}_now")
-
-    def step(acc: Column, item: Column) -> Column:
-        x = item["x"]
-        total = acc["s"] + F.coalesce(x, F.lit(0.0))
-        seen = acc["n"] + F.when(x.isNotNull(), 1).otherwise(0)
-        value = total / seen if roll.mean else total
-        return F.struct(
-            total.alias("s"),
-            seen.alias("n"),
-            (acc["valid"] + F.when(seen > 0, 1).otherwise(0)).alias("valid"),
-            (acc["hits"] + F.when((seen > 0) & (value <= current + _NOISE), 1).otherwise(0)).alias("hits"),
-        )
-
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("valid"), F.lit(0).alias("hits"))
-    return F.aggregate(F.col(f"{base}_b{roll.baseline}_cut"), zero, step)
-
-
-def _rolling_score(roll: RollingRank) -> Column:
-    """Share of rolling values not above the current one, in percent."""
-    base, b = _roll_name(roll), roll.baseline
-    current, fold = F.col(f"{base}_now"), F.col(f"{base}_b{b}_fold")
-    whole = F.col(f"{base}_b{b}_whole")
-    count = F.size(whole) + fold["valid"]
-    hits = F.col(f"{base}_b{b}_hits") + fold["hits"]
-    enough = (F.col(f"{base}_b{b}_rows") >= 2 * roll.days) & (count >= fixed.MIN_HISTORY)
-    return F.when(enough & current.isNotNull(), hits / count * 100).otherwise(0.0)
+    def of(name: str) -> SortedSeries:
+        if name not in series:
+            series[name] = SortedSeries(table.column(place[name]))
+        return series[name]
+
+    def percent(hits: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return hits / np.maximum(size, 1) * 100
+
+    out: dict[str, np.ndarray] = {}
+    for r in ranks:
+        history, value = of(r.column), of(r.value or r.column)
+        lo, hi = in_days(days, -r.days, -1)
+        size = history.sizes(lo, hi)
+        share = percent(history.not_above(lo, hi, value.values), size)
+        # Zero without a value or with too short a history.
+        out[r.out] = np.where(value.valid & (size >= fixed.MIN_HISTORY), share if r.high else 100.0 - share, 0.0)
+    for r in rolling:
+        b, d = r.baseline, r.days
+        now, whole = of(f"{_roll_name(r)}_now"), of(_roll_name(r))
+        rows = np.subtract(*in_days(days, -(b + d), -1)[::-1])
+        lo, hi = in_days(days, -(b + 1), -(d + 1))
+        # Rolling values are taken inside the slice of b + d days, so those of its first d - 1 days see a window that the
+        # slice cuts; all later ones are the plain rolling values.
+        count, hits = cut_sums(of(r.column), *in_days(days, -(b + d), -(b + 2)), now.values + _NOISE, r.mean)
+        count, hits = count + whole.sizes(lo, hi), hits + whole.not_above(lo, hi, now.values)
+        enough = (rows >= 2 * d) & (count >= fixed.MIN_HISTORY) & now.valid
+        out[r.out] = np.where(enough, percent(hits, count), 0.0)
+    return out
 
 
 def add_ranks(df: DataFrame, ranks: Sequence[Rank] = (), rolling: Sequence[RollingRank] = ()) -> DataFrame:
-    """Add all percentile and rolling-percentile columns in two window layers."""
+    """Add all percentile and rolling-percentile columns.
+
+    Rolling values come from one layer of windows. Then each athlete's rows pass an
+    Arrow step in which every series is sorted once (``order_statistics``) and all
+    rows are ranked together, so a rank costs the logarithm of the history and no
+    list is built per row.
+    """
     frame = with_day(df)
-    keep = frame.columns
+    keep = frame.schema
     first: dict[str, Column] = {}
     for r in rolling:
         base, x = _roll_name(r), col(r.column)
@@ -116,31 +112,21 @@ def add_ranks(df: DataFrame, ranks: Sequence[Rank] = (), rolling: Sequence[Rolli
         first[base] = settle(agg(x).over(by_days(1 - r.days, 0)))
         now = settle(agg(x).over(by_days(-r.days, -1)))
         first[f"{base}_now"] = now if r.mean else F.coalesce(now, F.lit(0.0))
-        first[f"{base}_b{r.baseline}_rows"] = F.count(F.lit(1)).over(by_days(-(r.baseline + r.days), -1))
     frame = frame.withColumns(first) if first else frame
-
-    second: dict[str, Column] = {}
-    for rank in ranks:
-        second[_history_name(rank)] = F.collect_list(rank.column).over(by_days(-rank.days, -1))
-    for r in rolling:
-        base, b, d = _roll_name(r), r.baseline, r.days
-        second[f"{base}_b{b}_whole"] = F.collect_list(base).over(by_days(-(b + 1), -(d + 1)))
-        cut = F.collect_list(F.struct(col(r.column).alias("x")))
-        second[f"{base}_b{b}_cut"] = cut.over(by_days(-(b + d), -(b + 2)))
-    frame = frame.withColumns(second)
-
-    third: dict[str, Column] = {}
-    for r in rolling:
-        base, b = _roll_name(r), r.baseline
-        third[f"{base}_b{b}_fold"] = _cut_windows(r)
-        third[f"{base}_b{b}_hits"] = count_not_above(F.col(f"{base}_b{b}_whole"), F.col(f"{base}_now"))
-    frame = frame.withColumns(third) if third else frame
-
-    scores = {
-        rank.out: percentile_risk(F.col(_history_name(rank)), col(rank.value or rank.column), rank.high) for rank in ranks
-    }
-    scores |= {r.out: _rolling_score(r) for r in rolling}
-    return frame.select(*keep, *[c.alias(name) for name, c in scores.items()])
+    names = dict.fromkeys([*[c for r in ranks for c in (r.column, r.value or r.column)], *[r.column for r in rolling], *first])
+    place = {name: f"_in{k}" for k, name in enumerate(names)}
+    inputs = frame.select(*keep.names, *[F.col(name).cast("double").alias(c) for name, c in place.items()])
+    kinds = {f.name: f for f in keep.fields} | {r.out: T.StructField(r.out, T.DoubleType()) for r in (*ranks, *rolling)}
+
+    def score(table: pa.Table) -> pa.Table:
+        days = table.column(DAY).to_pandas().fillna(-(1 << 40)).to_numpy().astype(np.int64)
+        order = np.argsort(days, kind="stable")
+        table = table.take(pa.array(order))
+        scores = _rank_scores(table, ranks, rolling, days[order], place)
+        columns = {n: table.column(n) for n in keep.names} | {n: pa.array(x, pa.float64()) for n, x in scores.items()}
+        return pa.table(columns)
+
+    return inputs.groupBy(ATHLETE).applyInArrow(score, T.StructType(list(kinds.values())))
 
 
 def trailing_share(df: DataFrame, column: str, value: str, out: str, days: int = fixed.BASELINE_DAYS) -> DataFrame:

@@ -6,6 +6,8 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from paceframe.functions import convert, risk
 from paceframe.functions.numbers import clamp, exact_round, fixed_text, km_text, pct_delta, share_text
 from paceframe.functions.vectors import cosine, distance, dot, norm
 from paceframe.operators import activities, daily, embeddings, periods, state, trailing
+from paceframe.operators.order_statistics import SortedSeries, in_days
+from paceframe.plans import bone_stress
 from paceframe.sources import exports, tables
 
 
@@ -82,6 +86,29 @@ def test_percentile_needs_seven_values(spark):
     assert by_day(ranked, "low")[6:] == [0.0, 0.0, 0.0]
 
 
+def test_ranks_in_stretches_are_plain_counts():
+    r = random.Random(6)
+    for n in (1, 2, 7, 60, 300):
+        values = [r.choice([None, float("nan"), r.randrange(8) / 2, r.random()]) for _ in range(n)]
+        days = np.cumsum([r.randrange(3) for _ in range(n)])
+        made = SortedSeries(pa.chunked_array([pa.array(values, pa.float64())]))
+        limits = np.array([r.choice([r.randrange(8) / 2, float("nan"), -1.0, 9.0]) for _ in range(n)])
+        for first, last in ((-28, -1), (-5, -3), (0, 0), (-1, -9)):
+            lo, hi = in_days(days, first, last)
+            got = made.not_above(lo, hi, limits)
+            within = lambda v, x: x != x or v == v and v <= x  # noqa: E731  as in Spark, NaN is the greatest value
+            for i in range(n):
+                mine = [v for v, d in zip(values, days) if v is not None and first <= d - days[i] <= last]
+                assert (made.sizes(lo, hi)[i], got[i]) == (len(mine), sum(within(v, limits[i]) for v in mine))
+
+
+def test_ranks_need_no_list_per_window(spark, sf):
+    from checks.registry import kept
+
+    plan = bone_stress.bone_stress_history(kept(spark, sf, "enriched"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "_h28_" not in plan and "_whole" not in plan
+
+
 def test_monotony_of_zero_and_constant_weeks(spark):
     frame = series(spark, [(i, 0.0) for i in range(7)] + [(i, 5.0) for i in range(20, 27)], "v double")
     out = by_day(trailing.monotony(frame, "v"), "foster_monotony", "foster_strain")
