@@ -391,18 +391,22 @@ from (select *, row_number() over (partition by athlete_id, date order by w desc
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    spans = fx.events(s, d).select("athlete_id", F.col("event_id").alias("label"), F.explode(F.sequence("symptom_window_start", "onset_date")).alias("date"))
-    return datasets.contrast_pairs(_windows(s, d), spans, embeddings.stable_days(kept(s, d, "scored")).select(*KEY))
+    positives = datasets.positive_days(fx.events(s, d), fx.reference_periods(s, d))
+    return datasets.contrast_pairs(_windows(s, d), positives, embeddings.stable_days(kept(s, d, "scored")).select(*KEY))
 
 
+_DRAW = "md5(athlete_id::varchar || ':' || date::varchar), date"
 add(
     "contrast_pairs", "M15,U07,P07",
-    lambda s, d: _pairs(s, d).groupBy("athlete_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("positive_date").alias("positives"), F.count_distinct("negative_date").alias("negatives")),
+    lambda s, d: show(_pairs(s, d), ["athlete_id", "pair"], [], ["positive_date", "label", "negative_date"]),
     build(
-        """select athlete_id, least(p, n, 256) as pairs, least(p, n, 256) as positives, least(p, n, 256) as negatives from (
-  select w.athlete_id, count(*) filter (where w.date between date '2021-03-01' and date '2021-04-01') as p,
-    count(*) filter (where h.bone_stress_risk_level = 'low' and coalesce(h.running_7d_sum_m, 0) > 20000) as n
-  from wins w left join bh h using (athlete_id, date) group by w.athlete_id) where least(p, n) > 0""",
+        f"""select athlete_id, pair, p.date as positive_date, label, n.date as negative_date from (
+  select athlete_id, date, label, row_number() over (partition by athlete_id order by {_DRAW}, label) as pair from (
+    select athlete_id, date, 'spring_block' as label from wins where date between date '2021-03-01' and date '2021-04-01' union all
+    select athlete_id, date, 'summer_block' as label from wins where date between date '2020-07-01' and date '2020-08-15')) p
+  join (select athlete_id, date, row_number() over (partition by athlete_id order by {_DRAW}) as pair from wins semi join (
+    select athlete_id, date from bh where bone_stress_risk_level = 'low' and coalesce(running_7d_sum_m, 0) > 20000) using (athlete_id, date)) n using (athlete_id, pair)
+  where pair <= 256""",
         "wins", "bh",
     ),
 )

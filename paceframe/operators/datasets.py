@@ -151,22 +151,30 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, *keys: str) -
     )
 
 
+def positive_days(events: DataFrame, reference_periods: DataFrame) -> DataFrame:
+    """Days of events, from the start of symptoms to onset, and of reference periods; a day of both has a row for each."""
+    spans = events.select(ATHLETE, F.col("event_id").alias("label"), F.coalesce("symptom_window_start", "onset_date").alias("a"), F.col("onset_date").alias("b"))
+    spans = spans.unionByName(reference_periods.select(ATHLETE, F.col("event_id").alias("label"), F.col("start_date").alias("a"), F.col("end_date").alias("b")))
+    return spans.filter("a <= b").select(ATHLETE, "label", F.explode(F.sequence("a", "b")).alias(DATE))
+
+
 def contrast_pairs(
     windows: DataFrame, positives: DataFrame, stable: DataFrame, limit: int = 256
 ) -> DataFrame:
-    """Equal numbers of event-window days and stable days, paired per athlete.
+    """Equal numbers of event or reference days and stable days, paired per athlete.
 
-    ``positives`` and ``stable`` list days; a hash of the day stands for the
-    random draw, so the sample is the same on every run.
+    ``positives`` (``positive_days``) and ``stable`` list days; a hash of athlete
+    and day stands for the random draw, so the sample is the same on every run.
+    ``limit`` bounds the rows that a model is fitted on, as in the reference.
     """
     days = windows.select(ATHLETE, DATE)
-    order = [F.xxhash64(F.col(ATHLETE), F.col(DATE)), F.col(DATE)]
+    draw = F.md5(F.concat_ws(":", F.col(ATHLETE).cast("string"), F.col(DATE).cast("string")))
 
-    def drawn(rows: DataFrame, side: str) -> DataFrame:
-        picked = top_per(rows, [ATHLETE], order, limit, rank="pair")
-        return picked.select(ATHLETE, F.col(DATE).alias(f"{side}_date"), "pair", *(["label"] if side == "positive" else []))
+    def drawn(rows: DataFrame, side: str, *more: str) -> DataFrame:
+        picked = top_per(rows, [ATHLETE], [draw, F.col(DATE), *map(F.col, more)], limit, rank="pair")
+        return picked.select(ATHLETE, F.col(DATE).alias(f"{side}_date"), "pair", *more)
 
-    yes = drawn(days.join(positives.select(ATHLETE, DATE, "label"), [ATHLETE, DATE]), "positive")
+    yes = drawn(days.join(positives.select(ATHLETE, DATE, "label"), [ATHLETE, DATE]), "positive", "label")
     no = drawn(days.join(stable.select(ATHLETE, DATE), [ATHLETE, DATE], "left_semi"), "negative")
     return yes.join(no, [ATHLETE, "pair"])
 
