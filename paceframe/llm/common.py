@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -76,6 +79,14 @@ def steps(batches: Iterable[pa.RecordBatch], chars: int = STEP_CHARS) -> Iterato
             yield ids, texts
 
 
+def release_memory() -> None:
+    """Gives memory that earlier steps left unused in this worker back to the system; workers live through all stages of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bucket(column: Column | str, modulus: int) -> Column:
     """crc32 of the value as text, modulo ``modulus``: the folds of the contracts."""
     return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")).cast("binary")) % modulus

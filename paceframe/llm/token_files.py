@@ -32,7 +32,7 @@ HAS_CHECKSUMS = 0x80
 LAST_BYTES = "꒏"
 
 #: Parts that a worker remembers here, beside the shuffle's buffers.
-MEMO = 650_000
+MEMO = 500_000
 _NO_ID = -(1 << 63)
 _SHARDS = pa.schema([("content", pa.binary())])
 _DOCS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("place", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])

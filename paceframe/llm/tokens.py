@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from paceframe.llm import common
+
 #: Parts that a worker remembers at most.
-MEMO = 900_000
+MEMO = 500_000
 #: Characters of text whose parts are held at a time.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 2_000_000
 #: Parts that go to the library in one call, and whose ids are gathered at a time.
 CALL, GATHER = 4_000, 500_000
 #: White space of Unicode, as the tokenizers see it.
@@ -61,6 +63,7 @@ class Encoder:
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
+        common.release_memory()
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids above 65535 are not supported")
