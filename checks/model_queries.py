@@ -216,6 +216,18 @@ add(
     "embedding_plane", "E11",
     lambda s, d: learners.plane_coordinates(fx.vectors(s, d), fx.VECTOR_DIM).select(*KEY, F.abs(F.round("pc1", 4)).alias("pc1"), F.abs(F.round("pc2", 4)).alias("pc2")),
 )
+add(
+    "embedding_component_moments", "E11",
+    lambda s, d: show(learners.component_moments(fx.state_vectors(s, d), fx.STATE_DIM), ["moment"], ["value"], digits=3),
+    build(
+        f"""select unnest([1, 2, 3, 4])::bigint as moment, round(unnest([
+    (select sum(v) from c where i = j), (select sum(a.v * b.v) from c a join c b on a.j = b.i and b.j = a.i),
+    (select sum(a.v * b.v * e.v) from c a join c b on a.j = b.i join c e on b.j = e.i and e.j = a.i),
+    (select sum(a.v * b.v * e.v * f.v) from c a join c b on a.j = b.i join c e on b.j = e.i join c f on e.j = f.i and f.j = a.i)]) + {NUDGE}, 3) as value
+  from (select 1) with_one""".replace("from c", "from (select i, j, covar_samp(z[i], z[j]) as v from zv, range(1, 5) a(i), range(1, 5) b(j) group by i, j)").replace("join c ", "join (select i, j, covar_samp(z[i], z[j]) as v from zv, range(1, 5) a(i), range(1, 5) b(j) group by i, j) "),
+        "zv",
+    ),
+)
 add(
     "embedding_norm_agreement", "E12,A16,J03",
     lambda s, d: show(
@@ -357,6 +369,16 @@ add(
         ["split"], ["mae", "rmse"], ["n"],
     ),
 )
+# The twin has the targets where the engine has its predictions: only weights that solve the equations make them equal.
+add(
+    "ridge_normal_equations", "M10,M14",
+    lambda s, d: show(learners.normal_equations(_supervised(s, d)), ["feature"], ["left_side"], digits=2),
+    build(
+        f"""select feature, round(sum(x * target) - sum(x) * avg(target) + {NUDGE}, 2) as left_side from (
+  select target, unnest(vector) as x, unnest(range(0, len(vector))) as feature from wins where split = 'train' and target is not null) group by feature""",
+        "wins",
+    ),
+)
 add(
     "tree_baseline", "M11,M14",
     lambda s, d: show(

@@ -287,3 +287,24 @@ def test_ridge_matches_the_closed_form(spark):
     weights = np.linalg.solve(centred.T @ centred + 10.0 * np.eye(3), centred.T @ (ty - ty.mean()))
     expected = (x - tx.mean(axis=0)) @ weights + ty.mean()
     assert np.allclose(got, expected, atol=1e-8)
+
+
+def test_gram_matrix_is_the_sum_of_outer_products(spark):
+    from paceframe.operators import learners
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=50)
+    rows = [(x[i].tolist(), float(y[i])) for i in range(50)] + [(None, 1.0), ([1.0] * 4, None)]
+    made = learners.gram_matrix(spark.createDataFrame(rows, "vector array<double>, target double").repartition(5))
+    whole = np.column_stack([x, np.ones(50), y])
+    assert np.allclose(made, whole.T @ whole)
+    assert not len(learners.gram_matrix(spark.createDataFrame([], "vector array<double>, target double")))
+
+
+def test_trees_find_a_split_known_by_hand(spark):
+    from paceframe.operators import learners
+
+    rows = [(1, day(i), "train" if i < 80 else "test", 10.0 if i % 10 < 4 else 50.0, [float(i % 10), float(i % 3)]) for i in range(100)]
+    frame = spark.createDataFrame(rows, "athlete_id bigint, date date, split string, target double, vector array<double>")
+    found = learners.tree_predictions(frame).collect()
+    assert all(abs(r["trees"] - r["target"]) < 1e-6 for r in found)
