@@ -466,9 +466,9 @@ add(
 )
 add(
     "overview", "A09",
-    lambda s, d: quality.overview(kept(s, d, "daily").select(*KEY, *FEATURES), REQUESTED, TARGET),
+    lambda s, d: quality.overview(kept(s, d, "daily"), REQUESTED, TARGET),
     build(
-        f"select count(*) as rows, {len(FEATURES) + 2}::bigint as columns, min(date) as date_min, max(date) as date_max, {len(REQUESTED)}::bigint as configured_features, {len(REQUESTED) - 1}::bigint as available_configured_features, count({TARGET}) as target_non_null_rows from daily",
+        f"select count(*) as rows, {len(_CHECKED) + 2}::bigint as columns, min(date) as date_min, max(date) as date_max, {len(REQUESTED)}::bigint as configured_features, {len(REQUESTED) - 1}::bigint as available_configured_features, count({TARGET}) as target_non_null_rows from daily",
         "daily",
     ),
 )
@@ -479,9 +479,17 @@ add(
 )
 
 
+# Every family of the daily table, and a column that it has on all its days.
+_FAMILIES = {
+    "activity": "activity_count", "running": "running_activity_count", "cycling": "cycling_activity_count", "hiking": "hiking_activity_count", "swimming": "swimming_activity_count",
+    "other": "other_activity_count", "impact": "impact_weighted_duration_seconds", "fatigue": "fatigue_weighted_duration_seconds", "readiness": "readiness_hrvWeeklyAverage",
+    "sleep": "sleep_total_seconds", "wellness": "wellness_restingHeartRate",
+}
+
+
 def _coverage(s: SparkSession, d: str) -> DataFrame:
     frame = kept(s, d, "daily")
-    return quality.group_coverage(frame, quality.column_groups(frame.columns, ["cycling", "readiness", "sleep", "wellness"]))
+    return quality.group_coverage(frame, quality.column_groups(frame.columns, list(_FAMILIES)))
 
 
 add(
@@ -490,7 +498,7 @@ add(
     build(
         " union all ".join(
             f"select '{g}' as feature_group, count(*) filter (where {cond}) as days, round(count(*) filter (where {cond})::double / count(*) * 100 + {NUDGE}, 4) as coverage_pct from daily"
-            for g, cond in (("cycling", "cycling_activity_count is not null"), ("readiness", "readiness_hrvWeeklyAverage is not null"), ("sleep", "sleep_total_seconds is not null"), ("wellness", "wellness_restingHeartRate is not null"))
+            for g, cond in ((g, f"{c} is not null") for g, c in _FAMILIES.items())
         ),
         "daily",
     ),
