@@ -205,6 +205,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     chunks = common.staged(text_chunks(common.id_and_text(docs, id_col, text_col), CHUNK_TOKENS))
     total = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     table = common.staged(shingle_table(chunks, words, percent, max(LEAST_SEGMENTS, -(-total // SEGMENT_KEYS)), key_shift(total)))
+    common.discard(chunks)
     # One node for each different set that may have partners.
     sets = common.staged(table.where("tokens IS NOT NULL").groupBy("sig").agg(F.min(F.struct("row", "n", "tokens", "lead", "bands")).alias("r")).select(F.col("r.row").alias("node"), "sig", "r.n", "r.tokens", "r.lead", "r.bands"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
