@@ -11,9 +11,17 @@ token, the groups whose union of leading tokens has it, with their members' size
 and the most tokens that a member has from there on. The first common token of
 two sets leaves them no more common tokens than either has from there on; this
 bounds a document's overlap with a group, and only groups that can reach the
-threshold are opened. Members that can reach it one by one are compared, exactly.
+threshold are opened. A second bound comes from a bit mark of each set (every
+token flips one of its bits): the union and the intersection of a group's marks
+tell bits in which a document differs from all members, and two sets differ in at
+least as many tokens as their marks do in bits. Members that can reach the
+threshold one by one are compared, exactly.
+
 Already connected documents are not compared again, so most of a large group of
-near copies costs one comparison each.
+near copies costs one comparison each. Before groups are opened, every token's
+documents are compared with one of them, another one for each token: copies that
+differ too much from the first of their min-hash meet many others that way, at
+one comparison for each token at most.
 """
 
 from __future__ import annotations
@@ -32,9 +40,17 @@ BANDS = 4
 SALTS = 8
 #: Tokens of a chunk: its sets are held by one Python worker.
 CHUNK_TOKENS = 1_000_000
+#: 64-bit words of a set's mark.
+MARK_WORDS = 8
 _NO_ID = -(1 << 63)
 _M = np.uint64(0x9E3779B97F4A7C15)
-_SETS_SQL = "id long, row long, n long, sig binary, tokens binary, lead binary, bands array<long>"
+_SETS_SQL = "id long, row long, n long, sig binary, tokens binary, lead binary, bands array<long>, mark array<long>"
+
+
+def mark(tokens: np.ndarray) -> list[int]:
+    """Each token flips one bit of the mark, so marks differ in no more bits than their sets in tokens."""
+    bits = np.bincount((_mixed(tokens) % np.uint64(64 * MARK_WORDS)).astype(np.int64), minlength=64 * MARK_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 class ShingleSets:
@@ -136,7 +152,7 @@ def shingle_table(chunks: DataFrame, words: int, percent: int, segments: int, sh
             level = np.concatenate([_opened(r["levels"], "u1") for r in rows[1:]])[np.searchsorted(keys, s.tokens >> np.uint64(shift))]
         shared = np.bincount(s.doc, level > 0, len(s.sizes))
         maybe = (s.sizes > 0) & (100 * shared >= percent * s.sizes)
-        out: dict[str, list] = {k: [] for k in ("tokens", "lead", "bands")}
+        out: dict[str, list] = {k: [] for k in ("tokens", "lead", "bands", "mark")}
         seeds = [np.uint64(((b + 1) * int(_M)) & 0xFFFFFFFFFFFFFFFF) for b in range(BANDS)]
         for d, (a, b) in enumerate(zip(s.starts, s.starts[1:], strict=False)):
             if not maybe[d]:
@@ -147,11 +163,12 @@ def shingle_table(chunks: DataFrame, words: int, percent: int, segments: int, sh
             first = np.lexsort((t, level[a:b]))[: lead_length(len(t), percent)]
             out["tokens"].append(t.tobytes())
             out["lead"].append(t[first].tobytes())
+            out["mark"].append(mark(t))
             out["bands"].append([int(_mixed(t ^ seed).min().view(np.int64)) for seed in seeds])
         n_docs = len(s.sizes)
         return pa.table({
             "id": pa.array([None if i == _NO_ID else i for i in c.ids.tolist()], pa.int64()), "row": pa.array(row_numbers(c.chunk, n_docs)), "n": pa.array(s.sizes.astype(np.int64)), "sig": pa.array(s.sigs, pa.binary()),
-            "tokens": pa.array(out["tokens"], pa.binary()), "lead": pa.array(out["lead"], pa.binary()), "bands": pa.array(out["bands"], pa.list_(pa.int64())),
+            "tokens": pa.array(out["tokens"], pa.binary()), "lead": pa.array(out["lead"], pa.binary()), "bands": pa.array(out["bands"], pa.list_(pa.int64())), "mark": pa.array(out["mark"], pa.list_(pa.int64())),
         })
 
     return whole.groupBy("chunk").applyInArrow(sets, _SETS_SQL)
@@ -193,6 +210,12 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
+def between_groups(rows: DataFrame) -> DataFrame:
+    """The rows, staged, whose token occurs in more than one group."""
+    shared = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token")
+    return common.staged(rows.join(shared, "token", "left_semi"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row, and its row number (``row``).
 
@@ -207,7 +230,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     table = common.staged(shingle_table(chunks, words, percent, max(LEAST_SEGMENTS, -(-total // SEGMENT_KEYS)), key_shift(total)))
     common.discard(chunks)
     # One node for each different set that may have partners.
-    sets = common.staged(table.where("tokens IS NOT NULL").groupBy("sig").agg(F.min(F.struct("row", "n", "tokens", "lead", "bands")).alias("r")).select(F.col("r.row").alias("node"), "sig", "r.n", "r.tokens", "r.lead", "r.bands"))
+    sets = common.staged(table.where("tokens IS NOT NULL").groupBy("sig").agg(F.min(F.struct("row", "n", "tokens", "lead", "bands", "mark")).alias("r")).select(F.col("r.row").alias("node"), "sig", "r.n", "r.tokens", "r.lead", "r.bands", "r.mark"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
     # Groups: each member of a min-hash is compared with the first. A large group's members are dealt to SALTS tasks.
@@ -218,7 +241,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     near = common.staged(linked(stars, sets, percent))
     grouped = components(near)
 
-    # The matrix: token, group, least and largest member, and the most tokens from here on.
+    # The matrix: token, group, least and largest member, the most tokens from here on, union and intersection of the marks.
     def leads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             token = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("lead")]
@@ -226,23 +249,41 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
             of = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times) for c in ("node", "n", "grp")}
             place = np.concatenate([np.arange(k) for k in times]) if times else np.zeros(0, np.int64)
             columns = [np.concatenate(token) if token else np.zeros(0, np.int64), of["node"], of["n"], of["grp"], of["n"] - place]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["token", "node", "n", "grp", "rest"])
+            marks = batch.column("mark").take(pa.array(np.repeat(np.arange(len(times)), times)))
+            yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], marks], names=["token", "node", "n", "grp", "rest", "mark"])
 
-    members = sets.join(grouped, "node", "left").select("node", "n", "lead", F.coalesce("root", "node").alias("grp"))
+    members = sets.join(grouped, "node", "left").select("node", "n", "lead", "mark", F.coalesce("root", "node").alias("grp"))
     # What is left behind a token must suffice for the smallest possible partner.
-    rows = members.mapInArrow(leads, "token long, node long, n long, grp long, rest long").where((100 + percent) * F.col("rest") >= F.lit(percent) * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
-    group_rows = lambda r: r.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("reach"))
-    shared = group_rows(rows).groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    rows = common.staged(rows.join(shared, "token", "left_semi"))
+    rows = members.mapInArrow(leads, "token long, node long, n long, grp long, rest long, mark array<long>").where((100 + percent) * F.col("rest") >= F.lit(percent) * (F.col("n") + F.ceil(F.col("n") * percent / 100)))
     enough = lambda rest, a, b: (100 + percent) * rest >= percent * (a + b)
-    # Qualifying groups: later ones that share the token, have sizes in reach and enough tokens from there on.
-    opened = rows.alias("q").join(group_rows(rows).alias("g"), "token").where(
+    unlike = lambda bits, a, b: (100 + percent) * bits > (100 - percent) * (a + b)
+    words_of = range(MARK_WORDS)
+    apart = lambda a, b: sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in words_of)
+    rows = between_groups(rows)
+
+    # Each token's documents are compared with one of them, chosen by a hash of both.
+    hubs = rows.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("rest")).alias("before"), F.xxhash64("token", "node").alias("h"), "node", "n", "grp", "rest", "mark")).alias("f"))
+    hubs = hubs.select("token", *[F.col(f"f.{c}").alias(f"{c}_b") for c in ("node", "n", "grp", "rest", "mark")])
+    met = rows.join(hubs, "token").where((F.col("grp") != F.col("grp_b")) & fits(F.col("n"), F.col("n_b")) & enough(F.least("rest", "rest_b"), F.col("n"), F.col("n_b")) & ~unlike(apart("mark", "mark_b"), F.col("n"), F.col("n_b")))
+    met = common.staged(linked(met.select(F.greatest("node", "node_b").alias("a"), F.least("node", "node_b").alias("b")).distinct(), sets, percent))
+    near = near.union(met)
+    if not met.isEmpty():
+        rows = between_groups(rows.drop("grp").join(components(near), "node", "left").withColumn("grp", F.coalesce("root", "node")).drop("root"))
+
+    marks = [*[F.bit_or(F.col("mark")[i]).alias(f"any{i}") for i in words_of], *[F.bit_and(F.col("mark")[i]).alias(f"all{i}") for i in words_of]]
+    groups = rows.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("reach"), *marks)
+    # Bits that no member has and the query has, and the other way round.
+    outside = sum(F.bit_count(F.col("q.mark")[i].bitwiseAND(F.bitwise_not(f"g.any{i}"))) + F.bit_count(F.bitwise_not(F.col("q.mark")[i]).bitwiseAND(F.col(f"g.all{i}"))) for i in words_of)
+    # Qualifying groups: later ones that share the token, have sizes in reach, enough tokens from there on and marks near enough.
+    opened = rows.alias("q").join(groups.alias("g"), "token").where(
         (F.col("q.grp") < F.col("g.grp")) & (100 * F.col("g.most") >= percent * F.col("q.n")) & (100 * F.col("q.n") >= percent * F.col("g.least"))
         & enough(F.least("q.rest", "g.reach"), F.col("q.n"), F.greatest(F.col("g.least"), F.ceil(F.col("q.n") * percent / 100)))
+        & ~unlike(outside, F.col("q.n"), F.col("g.most"))
     )
-    opened = opened.select("token", F.col("q.node").alias("a"), F.col("q.n").alias("n_a"), F.col("q.rest").alias("rest_a"), F.col("g.grp").alias("grp"))
-    inside = rows.select("token", "grp", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
-    pairs = opened.join(inside, ["token", "grp"]).where(fits(F.col("n_a"), F.col("n_b")) & enough(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+    opened = opened.select("token", F.col("q.node").alias("a"), F.col("q.n").alias("n_a"), F.col("q.rest").alias("rest_a"), F.col("q.mark").alias("mark_a"), F.col("g.grp").alias("grp"))
+    inside = rows.select("token", "grp", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("mark").alias("mark_b"))
+    possible = fits(F.col("n_a"), F.col("n_b")) & enough(F.least("rest_a", "rest_b"), F.col("n_a"), F.col("n_b")) & ~unlike(apart("mark_a", "mark_b"), F.col("n_a"), F.col("n_b"))
+    pairs = opened.join(inside, ["token", "grp"]).where(possible).select("a", "b").distinct()
     far = linked(pairs, sets, percent)
     roots = components(near.union(far))
 

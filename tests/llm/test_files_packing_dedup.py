@@ -234,6 +234,32 @@ def test_jaccard_components_lose_no_link(spark, words, percent):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute_components(rows, words, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80])
+def test_near_copies_around_the_threshold_lose_no_link(spark, percent):
+    """Copies whose edits leave many of them apart: hubs and marks decide, no link may go."""
+    rows = []
+    for k in range(120):
+        r = random.Random(k)
+        w = prose(90 + k % 2, 130).split()
+        for _ in range(k % 13):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((k, " ".join(w), "en", "a", 1))
+    got = jaccard.jaccard_components(table(spark, rows), 5, percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 5, percent)
+    if percent == 80:
+        assert 2 < len({r.component_id for r in got}) < 120
+
+
+def test_marks_differ_in_no_more_bits_than_their_sets_in_tokens():
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+    for _ in range(200):
+        a, b = (np.unique(r.choice(pool, r.integers(1, 700))) for _ in range(2))
+        bits = sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(jaccard.mark(a), jaccard.mark(b), strict=True))
+        assert bits <= len(np.setxor1d(a, b))
+    assert jaccard.mark(pool) == jaccard.mark(pool[::-1])
+
+
 def test_rows_of_very_many_chunks_have_numbers_of_their_own():
     a, b = jaccard.row_numbers(1 << 40, 3), jaccard.row_numbers((1 << 40) + 1, 3)
     assert a.dtype == np.int64 and (a > 0).all() and len({*a.tolist(), *b.tolist()}) == 6
