@@ -5,8 +5,8 @@ is read back by probing level after level until one is missing. Filter and probe
 are dealt in segments by bigram hash: the filter of a corpus has no size bound, so
 every worker holds the segment that its probes need, and the number of segments
 grows with the corpus. Texts are turned into codes once, in chunks; a chunk's
-distinct words and bigrams, not its tokens, go through the shuffles, so a very
-frequent word costs one row per chunk.
+distinct words and bigrams, not its tokens, go through the shuffles, packed by
+segment, so a very frequent word costs one entry per chunk.
 
 A token's probability is Witten-Bell smoothed: the bigram count backed by the
 add-one unigram share, with the history's number of different successors as the
@@ -193,13 +193,37 @@ def word_parts(chunks: DataFrame) -> DataFrame:
     return chunks.mapInArrow(rows, "chunk long, words binary, counts binary, before binary")
 
 
-def word_rows(left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each distinct word of a chunk: its training count there, and how many bigrams that are counted there begin with it."""
-    r = left.to_pylist()[0]
-    words, before = np.frombuffer(r["words"], "<i8"), _opened(r["before"], "<u4")
-    levels = np.concatenate([_opened(x["levels"], "u1") for x in sorted(right.to_pylist(), key=lambda x: x["segment"])])
-    after = np.bincount(before[(levels & COUNTED) > 0], minlength=len(words)).astype(np.int64)
-    return pa.table({"word": pa.array(words), "chunk": pa.array(np.full(len(words), r["chunk"])), "code": pa.array(np.arange(len(words), dtype=np.int32)), "c": pa.array(_opened(r["counts"], "<u4").astype(np.int64)), "t": pa.array(after)})
+def word_rows(parts: DataFrame, levels: DataFrame, segments: int) -> DataFrame:
+    """A chunk's distinct words by segment, ascending: their training counts there, and how many bigrams that are counted there begin with them."""
+
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        words, before = np.frombuffer(r["words"], np.uint64), _opened(r["before"], "<u4")
+        marks = np.concatenate([_opened(x["levels"], "u1") for x in sorted(right.to_pylist(), key=lambda x: x["segment"])])
+        order = np.argsort(words)
+        ascending, count = words[order], _opened(r["counts"], "<u4")[order]
+        after = np.bincount(before[(marks & COUNTED) > 0], minlength=len(words)).astype("<u4")[order]
+        out, start = [], 0
+        for s, end in enumerate(_segment(ascending, segments).tolist()):
+            if end > start:
+                out.append((s, r["chunk"], _squeezed(np.diff(ascending[start:end], prepend=np.uint64(0))), _squeezed(count[start:end]), _squeezed(after[start:end])))
+            start = end
+        return pa.table([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["segment", "chunk", "words", "c", "t"])
+
+    return parts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(rows, "segment int, chunk long, words binary, c binary, t binary")
+
+
+def word_totals(table: pa.Table) -> pa.Table:
+    """A segment of words: for each chunk's words the training counts and successors of all chunks; beside the first chunk, how many words are in training."""
+    words = [np.cumsum(_opened(w.as_py(), "<u8"), dtype=np.uint64) for w in table.column("words")]
+    distinct, inverse = np.unique(np.concatenate(words), return_inverse=True)
+    ends = np.cumsum([len(w) for w in words])[:-1]
+    summed = lambda name: np.bincount(inverse, np.concatenate([_opened(x.as_py(), "<u4") for x in table.column(name)]), len(distinct)).astype("<u8")
+    c, t = summed("c"), summed("t")
+    parts = lambda x: pa.array([_squeezed(p) for p in np.split(x[inverse], ends)], pa.binary())
+    known = np.zeros(len(words), np.int64)
+    known[0] = np.count_nonzero(c)
+    return pa.table({"chunk": table.column("chunk"), "segment": table.column("segment"), "known": pa.array(known), "c": parts(c), "t": parts(t)})
 
 
 def segment_rows(chunks: DataFrame, segments: int, shift: int) -> DataFrame:
@@ -248,16 +272,13 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows. Without training rows the unigram share is all there is.
     """
     chunks = common.staged(text_chunks(common.id_and_text(docs, id_col, text_col)))
-    sizes = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("train"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all")).first()
-    segments = max(LEAST_SEGMENTS, -(-sizes["all"] // SEGMENT_KEYS))
-    levels = common.staged(segment_rows(chunks, segments, key_shift(sizes["all"])).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary"))
-    by_chunk = word_parts(chunks).groupBy("chunk").cogroup(levels.groupBy("chunk"))
-    words = by_chunk.applyInArrow(word_rows, "word long, chunk long, code int, c long, t long")
-    words = common.staged(words)
-    # A frequent word has a row in each chunk: they are summed map-side, and in the join large partitions can be split.
-    totals = common.staged(words.groupBy("word").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
-    distinct = totals.where("c > 0").count()
-    known = words.select("word", "chunk", "code").join(totals, "word")
+    sum_of = lambda column, name: F.coalesce(F.sum(column), F.lit(0)).alias(name)
+    sizes = chunks.agg(sum_of("n_train", "train"), sum_of("n_tokens", "all"), sum_of(F.length("words"), "words")).first()
+    parts_of = lambda keys: max(LEAST_SEGMENTS, -(-keys // SEGMENT_KEYS))
+    levels = common.staged(segment_rows(chunks, parts_of(sizes["all"]), key_shift(sizes["all"])).groupBy("segment").applyInArrow(probe, "chunk long, segment int, levels binary"))
+    words = word_rows(word_parts(chunks), levels, parts_of(sizes["words"] // 8))
+    totals = common.staged(words.groupBy("segment").applyInArrow(word_totals, "chunk long, segment int, known long, c binary, t binary"))
+    distinct = totals.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     n_train = sizes["train"]
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     whole = chunks.select("chunk", F.lit(-1).alias("segment"), "ids", "lengths", "train", "codes", "words", *none("levels"))
@@ -268,9 +289,10 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         c = Chunk(rows[0])
         _, inverse, _, _ = c.bigrams()
         found = np.concatenate([_opened(r["levels"], "u1") for r in rows[1:]]) & ~np.uint8(COUNTED)
-        code = right.column("code").to_numpy()
-        count, after = np.zeros(len(c.words)), np.zeros(len(c.words))
-        count[code], after[code] = right.column("c").to_numpy(), right.column("t").to_numpy()
+        sums = sorted(right.to_pylist(), key=lambda r: r["segment"])
+        count, after, order = np.zeros(len(c.words)), np.zeros(len(c.words)), np.argsort(c.words)
+        for into, name in ((count, "c"), (after, "t")):
+            into[order] = np.concatenate([_opened(r[name], "<u8") for r in sums])
         share = (count[c.codes] + 1) / (n_train + distinct + 1)
         past, weight = count[c.history], after[c.history]
         pair = np.minimum(expected_count(found)[inverse], past)
@@ -282,7 +304,7 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "train_tokens": pa.array(np.full(len(c.ids), n_train, np.int64)), "base_score": pa.array(per_doc(np.log10(share))), "score": pa.array(per_doc(np.log10(smooth))),
         })
 
-    return whole.groupBy("chunk").cogroup(known.select("chunk", "code", "c", "t").groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole.groupBy("chunk").cogroup(totals.select("chunk", "segment", "c", "t").groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paceframe.llm import language_model, license_rules, licenses, quality_classifier, quality_rules, toxicity
@@ -120,6 +121,23 @@ def test_language_model_does_not_depend_on_chunks(spark):
     assert scores(1) == scores(7)
 
 
+def test_words_are_summed_over_chunks_in_packed_segments():
+    r = np.random.default_rng(4)
+    chunks = [np.unique(r.integers(0, 60, n, np.uint64) << np.uint64(50)) for n in (30, 1, 80)]
+    c, t = ([r.integers(0, 3, len(w)).astype("<u4") for w in chunks] for _ in range(2))
+    pack = lambda parts: pa.array([language_model._squeezed(x) for x in parts], pa.binary())
+    made = pa.table({"segment": [5] * 3, "chunk": [7, 8, 9], "words": pack([np.diff(w, prepend=np.uint64(0)) for w in chunks]), "c": pack(c), "t": pack(t)})
+    got = language_model.word_totals(made).to_pylist()
+    for name, parts in (("c", c), ("t", t)):
+        want = collections.Counter()
+        for w, x in zip(chunks, parts, strict=True):
+            want.update(dict(zip(w.tolist(), x.tolist(), strict=True)))
+        assert [language_model._opened(row[name], "<u8").tolist() for row in got] == [[want[x] for x in w.tolist()] for w in chunks]
+        if name == "c":
+            assert [row["known"] for row in got] == [sum(n > 0 for n in want.values()), 0, 0]
+    assert [(row["chunk"], row["segment"]) for row in got] == [(7, 5), (8, 5), (9, 5)]
+
+
 # -- toxicity ---------------------------------------------------------------
 
 
