@@ -12,6 +12,10 @@ A token's probability is Witten-Bell smoothed: the bigram count backed by the
 add-one unigram share, with the history's number of different successors as the
 weight. A segment sees all chunks that have a bigram and marks one of them, so
 the marked bigrams of all chunks, summed by history, are the corpus's successors.
+
+A text's score is that of an even mixture of this model and the unigram shares, so
+a text whose word order the training text contradicts loses at most log10(2)
+against the shares alone.
 """
 
 from __future__ import annotations
@@ -105,6 +109,12 @@ def expected_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (3.0 * 2.0 ** (levels.astype(np.float64) - 1) - 1) / 2, 0.0)
 
 
+def even_mixture(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """log10 probability of a text that came from one of two models, either as likely, from its log10 probability in each."""
+    ten = np.log(10)
+    return (np.logaddexp(one * ten, other * ten) - np.log(2)) / ten
+
+
 def text_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Rows of about ``chunk_tokens`` tokens (a text is never cut): codes of the tokens and hashes of the distinct words (code 0: the end)."""
 
@@ -269,7 +279,8 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Trained on the rows whose id's crc32 modulo 7 is not 2 (a null id counts as
     an empty one). A null or empty text is its end alone; repeated rows are
     counted and scored each; other columns are left out; an empty table gives no
-    rows. Without training rows the unigram share is all there is.
+    rows. Without training rows the unigram share is all there is. A score is
+    finite and at most log10(2) below its base score.
     """
     chunks = common.staged(text_chunks(common.id_and_text(docs, id_col, text_col)))
     sum_of = lambda column, name: F.coalesce(F.sum(column), F.lit(0)).alias(name)
@@ -293,15 +304,18 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         count, after, order = np.zeros(len(c.words)), np.zeros(len(c.words)), np.argsort(c.words)
         for into, name in ((count, "c"), (after, "t")):
             into[order] = np.concatenate([_opened(r[name], "<u8") for r in sums])
+        # Of two bigrams whose shortened keys are equal one is marked, but a word in training has a successor.
+        after = np.maximum(after, count > 0)
         share = (count[c.codes] + 1) / (n_train + distinct + 1)
         past, weight = count[c.history], after[c.history]
         pair = np.minimum(expected_count(found)[inverse], past)
         smooth = np.where(past > 0, (pair + weight * share) / np.maximum(past + weight, 1), share)
         starts = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
         per_doc = lambda x: np.add.reduceat(x, starts)
+        base, bigram = per_doc(np.log10(share)), per_doc(np.log10(smooth))
         return pa.table({
             "doc_id": pa.array([None if i == _NO_ID else i for i in c.ids.tolist()], pa.int64()), "held_out": pa.array(~c.train), "n_tokens": pa.array(c.lengths), "n_known": pa.array(per_doc((count[c.codes] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(c.ids), n_train, np.int64)), "base_score": pa.array(per_doc(np.log10(share))), "score": pa.array(per_doc(np.log10(smooth))),
+            "train_tokens": pa.array(np.full(len(c.ids), n_train, np.int64)), "base_score": pa.array(base), "score": pa.array(even_mixture(base, bigram)),
         })
 
     return whole.groupBy("chunk").cogroup(totals.select("chunk", "segment", "c", "t").groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

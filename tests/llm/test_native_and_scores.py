@@ -138,6 +138,24 @@ def test_words_are_summed_over_chunks_in_packed_segments():
     assert [(row["chunk"], row["segment"]) for row in got] == [(7, 5), (8, 5), (9, 5)]
 
 
+def test_scores_are_finite_where_shortened_keys_merge(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "key_shift", lambda total: 52)
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    rows = [(k, " ".join(f"x{i} {'z' if k == held else 'y'}{i}" for i in range(300)), "en", "a", 1) for k in (held, held + 1)]
+    got = language_model.language_scores(table(spark, rows)).collect()
+    assert [r.held_out for r in sorted(got)] == [True, False] and all(math.isfinite(r.score) for r in got)
+    assert all(r.score >= r.base_score - math.log10(2) - 1e-9 for r in got)
+
+
+def test_scores_stay_near_the_base_where_word_order_is_unseen(spark):
+    words = "p q r s t u v w".split()
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = [(k, " ".join((words[::-1] if k in held else words) * 20), "en", "a", 1) for k in range(200)]
+    got = language_model.language_scores(table(spark, rows)).collect()
+    assert sorted(r.doc_id for r in got if r.held_out) == held
+    assert all(r.score >= r.base_score - math.log10(2) - 1e-9 for r in got) and all(r.score > r.base_score / 2 for r in got if not r.held_out)
+
+
 # -- toxicity ---------------------------------------------------------------
 
 
