@@ -2,10 +2,11 @@
 
 A test item that occurs in a text with at most k edits leaves one of k + 1 pieces
 untouched. The pieces of a block of items are looked up in a text by one
-automaton; around each exact hit the whole item is matched by Myers' bit-parallel
-distance, with a budget that also covers a replaced word: edits that stand
-together touch two pieces at most. Texts and items are compared in lower case with
-runs of white space as one blank.
+automaton, k being an item's whole budget, which also covers a replaced word. Of
+the item's grams, cut more finely, k edits leave all but k untouched: a hit with
+fewer of them around it is dropped, and around the others the whole item is
+matched by Myers' bit-parallel distance. Texts and items are compared in lower
+case with runs of white space as one blank.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from pyspark.sql import functions as F
 
 from paceframe.llm import common
 
-#: Edits, as a share of an item's length, that leave a piece untouched wherever they are; shorter items than 1 / SURE_RATE must occur as they are.
+#: Items shorter than 1 / SURE_RATE must occur as they are.
 SURE_RATE = 0.06
-#: Edits allowed around an untouched piece; a replaced word may cost up to WORD_RATE of the item.
+#: Edits allowed, as a share of an item's length; a replaced word may cost up to WORD_RATE of it.
 EDIT_RATE, WORD_RATE = 0.1, 0.15
+#: Characters of a gram, at least.
+GRAM = 3
 #: Characters of items that go to the workers at once; the documents are read once for each block.
 BLOCK_CHARS = 1_000_000
 
@@ -39,16 +42,18 @@ def edit_budget(item: str, edit_rate: float = EDIT_RATE) -> int:
     return max(int(edit_rate * len(item)), min(max(map(len, item.split(" "))), int(WORD_RATE * len(item)) if edit_rate else 0))
 
 
-def piece_edges(item: str) -> list[int]:
-    """Where a plain item is cut: into one piece more than its length allows sure edits.
-
-    A replaced word no longer than a piece touches two pieces at most, so it may
-    come on top of all but two of the sure edits.
-    """
-    n = int(SURE_RATE * len(item)) + 1
+def piece_edges(item: str, edit_rate: float = EDIT_RATE) -> list[int]:
+    """Where a plain item is cut: into one piece more than edits are allowed, so one is untouched wherever they are."""
+    n = min(edit_budget(item, edit_rate) + 1, len(item))
     return [len(item) * k // n for k in range(n + 1)]
 
 
+def grams(item: str) -> list[str]:
+    """A plain item cut into as many pieces of ``GRAM`` characters or one more as it has; an edit touches one at most."""
+    n = max(1, len(item) // GRAM)
+    return [item[len(item) * k // n : len(item) * (k + 1) // n] for k in range(n)]
+
+
 def _stands_alone(text: str, start: int, end: int) -> bool:
     """Whether text[start:end] has no letter or digit on either side."""
     return not (start > 0 and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
@@ -103,7 +108,7 @@ class Items:
             if not budget:
                 at[p].append((n, 0))  # short items must stand as whole words
                 continue
-            edges = piece_edges(p)
+            edges = piece_edges(p, edit_rate)
             for a, b in zip(edges, edges[1:], strict=False):
                 at[p[a:b]].append((n, a))
         self.automaton = ahocorasick.Automaton()
@@ -111,28 +116,43 @@ class Items:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
         self.empty = not at
+        self.grams = [grams(p) for _, p, _ in self.items]
+
+    def _may_hold(self, n: int, window: str) -> bool:
+        """Whether the window has as many of an item's grams as its budget leaves untouched."""
+        spare = self.items[n][2]
+        for g in self.grams[n]:
+            if g not in window:
+                spare -= 1
+                if spare < 0:
+                    return False
+        return True
 
     def matches(self, text: str) -> list[Match]:
         """Every item that the whole text holds, with its best place."""
         if self.empty:
             return []
         padded = f" {plain(text)} "
-        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        windows: dict[int, set[tuple[int, int]]] = defaultdict(set)
         for end, (size, places) in self.automaton.iter(padded):
             for n, offset in places:
                 _, p, budget = self.items[n]
                 start = end + 1 - size - offset
                 if not budget and not _stands_alone(padded, start, end + 1):
                     continue
-                windows[n].append((start - budget, start + len(p) + budget))
+                span = (start - budget, start + len(p) + budget)
+                if span not in windows[n] and (not budget or self._may_hold(n, padded[max(0, span[0]) : span[1]])):
+                    windows[n].add(span)
         out = []
-        for n, spans in windows.items():
+        for n, found_at in windows.items():
             item, p, budget = self.items[n]
+            if not found_at:
+                continue
             if not budget:
-                out.append(Match(item, 0, min(b for _, b in spans) - 2))
+                out.append(Match(item, 0, min(b for _, b in found_at) - 2))
                 continue
             # Overlapping windows are read once, so repeated pieces cost no more than the text's length.
-            spans.sort()
+            spans = sorted(found_at)
             best, k = None, 0
             while k < len(spans):
                 a, b = spans[k]
@@ -163,8 +183,8 @@ def find_matches(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE
     """doc_id, item_id, distance and end (in the plain text): a row for every item that a document row holds.
 
     Null and empty texts hold nothing, null and empty items are in no text; items
-    too short for an edit must stand as whole words; others must have a piece
-    (``piece_edges``) untouched and be within ``edit_budget`` around it; repeated rows give rows
+    too short for an edit must stand as whole words; every other one within its
+    ``edit_budget`` is found, wherever the edits are; repeated rows give rows
     each, repeated items one; empty tables give no rows. Other columns are left out.
     """
     base = common.id_and_text(docs, id_col, text_col)

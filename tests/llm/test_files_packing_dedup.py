@@ -375,6 +375,21 @@ def test_every_item_within_its_budget_is_found(spark):
     assert decontamination.decontaminate(table(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_edits_in_every_piece_hide_no_item():
+    r = random.Random(5)
+    for k in range(60):
+        item = decontamination.plain(prose(700 + k, 6 + k % 20))
+        budget = decontamination.edit_budget(item)
+        held = list(item)
+        for e in range(budget):  # spread evenly, as replaced, left out or added characters
+            at = (2 * e + 1) * len(held) // (2 * budget)
+            held[at] = ["#", "", held[at] + "#"][r.randrange(3 if k % 2 else 1)]
+        text = f"{prose(k, 30)} {''.join(held)} {prose(k + 50, 30)}"
+        want = brute_distance(item, f" {decontamination.plain(text)} ")[0]
+        assert 0 < want <= budget
+        assert [(m.item, m.distance) for m in decontamination.Items([(k, item), (-1, prose(2000 + k, 20))]).matches(text)] == [(k, want)]
+
+
 # -- pipeline ---------------------------------------------------------------
 
 
