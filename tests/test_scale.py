@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from checks import registry
 from paceframe.operators import activities
+from paceframe.sources import exports
 
 ACTIVITY = (
     "athlete_id bigint, activity_id bigint, date date, source_file string, record_ordinal bigint, activity_type string, "
@@ -53,3 +56,16 @@ def test_tables_of_large_sources_are_not_persisted(spark, sf, monkeypatch):
         assert sorted(map(str, bone.collect())) == want
     finally:
         registry.forget()
+
+
+def test_a_number_in_a_text_field_does_not_open_the_file_again(spark, tmp_path):
+    rows = [{"calendarDate": "2024-01-02", "valueInML": n, "estimatedSweatLossInML": n + 0.5, "duration": n} for n in range(2000)]
+    folder = tmp_path / "athlete_id=7"
+    folder.mkdir()
+    file = folder / "HydrationLogFile_1.json"
+    file.write_text(json.dumps(rows))
+    read = lambda: spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file").getLong("bytesRead")
+    before = read()
+    got = exports.read_hydration(spark, str(tmp_path)).agg(F.count("date"), F.sum("hydration_value_ml"), F.max("athlete_id")).first()
+    assert tuple(got) == (2000, float(sum(range(2000))), 7)
+    assert read() - before < 4 * file.stat().st_size
