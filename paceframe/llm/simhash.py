@@ -124,19 +124,20 @@ def linked_roots(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     masked = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _block_masks(distance)])
     keyed = nodes.select("fp", F.posexplode(masked).alias("choice", "bits"))
     crowded = keyed.groupBy(bucket).agg(F.min("fp").alias("rep"), F.max("fp").alias("other")).where("rep <> other").drop("other")
-    rows = common.staged(keyed.join(crowded, bucket))
+    # Spark sizes what comes after an explode as if it had the rows from before; by that size it would broadcast millions of buckets.
+    rows = common.staged(keyed.join(crowded.hint("merge"), bucket))
     stars = rows.where((F.col("fp") != F.col("rep")) & (differing_bits("fp", "rep") <= distance))
     near = common.staged(stars.select(F.col("fp").alias("a"), F.col("rep").alias("b")).distinct())
     groups = components(near).select(F.col("node").alias("fp"), F.col("root").alias("grp"))
     grouped = rows.drop("rep").join(groups, "fp", "left").withColumn("grp", F.coalesce("grp", "fp"))
     # Buckets of one group need no more comparisons.
     several = grouped.groupBy(bucket).agg(F.min("grp").alias("g"), F.max("grp").alias("h")).where("g <> h").select(bucket)
-    members = common.staged(with_distances(grouped.join(several, bucket, "left_semi")))
+    members = common.staged(with_distances(grouped.join(several.hint("merge"), bucket, "left_semi")))
 
     box = [f(coordinate("p0", k)).alias(f"{name}{k}") for k in range(SHARED) for name, f in (("lo", F.min), ("hi", F.max))]
     boxes = members.groupBy(*bucket, "grp").agg(*box)
     in_box = functools.reduce(operator.and_, [(coordinate("m.p0", k) >= F.col(f"g.lo{k}") - distance) & (coordinate("m.p0", k) <= F.col(f"g.hi{k}") + distance) for k in range(SHARED)])
-    m, g = members.alias("m"), boxes.alias("g")
+    m, g = members.alias("m"), boxes.hint("merge").alias("g")
     opened = m.join(g, (F.col("m.choice") == F.col("g.choice")) & (F.col("m.bits") == F.col("g.bits")) & (F.col("m.grp") < F.col("g.grp")) & in_box)
     opened = opened.select("m.*", F.col("g.grp").alias("into")).alias("a")
     b = members.alias("b")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from checks import registry
+from paceframe.llm import common, simhash
 from paceframe.operators import activities
 from paceframe.sources import exports
 
@@ -69,3 +70,16 @@ def test_a_number_in_a_text_field_does_not_open_the_file_again(spark, tmp_path):
     got = exports.read_hydration(spark, str(tmp_path)).agg(F.count("date"), F.sum("hydration_value_ml"), F.max("athlete_id")).first()
     assert tuple(got) == (2000, float(sum(range(2000))), 7)
     assert read() - before < 4 * file.stat().st_size
+
+
+def test_op12_does_not_broadcast_what_an_explode_has_multiplied(spark, monkeypatch):
+    plans = []
+
+    def staged(df, keep=common.staged):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(simhash.common, "staged", staged)
+    nodes = spark.createDataFrame([(k << 40,) for k in range(1, 40)] + [((k << 40) + 1,) for k in range(1, 40)], "fp long")
+    assert simhash.linked_roots(nodes).count() == 77  # the root itself is left out
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
