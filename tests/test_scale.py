@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from checks import registry
 from paceframe.llm import common, simhash
-from paceframe.operators import activities
+from paceframe.operators import activities, quality
 from paceframe.sources import exports
 
 ACTIVITY = (
@@ -73,6 +73,7 @@ def test_a_number_in_a_text_field_does_not_open_the_file_again(spark, tmp_path):
 
 
 def test_op12_does_not_broadcast_what_an_explode_has_multiplied(spark, monkeypatch):
+    nodes = common.staged(spark.createDataFrame([(k << 40,) for k in range(1, 40)] + [((k << 40) + 1,) for k in range(1, 40)], "fp long"))
     plans = []
 
     def staged(df, keep=common.staged):
@@ -80,6 +81,13 @@ def test_op12_does_not_broadcast_what_an_explode_has_multiplied(spark, monkeypat
         return keep(df)
 
     monkeypatch.setattr(simhash.common, "staged", staged)
-    nodes = spark.createDataFrame([(k << 40,) for k in range(1, 40)] + [((k << 40) + 1,) for k in range(1, 40)], "fp long")
     assert simhash.linked_roots(nodes).count() == 77  # the root itself is left out
     assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_describe_keeps_a_row_per_day(spark):
+    rows = spark.createDataFrame([(1, 1.0, None), (1, 3.0, None), (2, None, 5.0)], "athlete_id bigint, a double, b double")
+    got = quality.describe(rows, ["a", "b"])
+    assert "Generate inline" not in got._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2]
+    found = {(r["athlete_id"], r["column"]): (r["count"], r["mean"], r["p50"], r["missing_pct"]) for r in got.collect()}
+    assert found == {(1, "a"): (2, 2.0, 2.0, 0.0), (1, "b"): (0, None, None, 100.0), (2, "a"): (0, None, None, 100.0), (2, "b"): (1, 5.0, 5.0, 0.0)}
